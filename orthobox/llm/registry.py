@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orthobox.llm import bpe, sharding
+from orthobox.llm import bpe, secrets, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,12 +19,24 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_read(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * 24)
 
 
+def op5_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_texts(_read(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_read(spark, sf_dir, "documents"), ["doc_id"], "text", public_tokenizers.path("byte_bpe_50k.json"), ids=False, decoded=False)
 
 
+def op8_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", width=3, tau=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_QUERIES = (op2_rendezvous_sharding, op5_entropy_secrets, op6_bpe, op8_simhash_gph)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_rendezvous_sharding": op2_rendezvous_sharding, "op6_bpe": op6_bpe}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
