@@ -5,20 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthobox.llm import bpe, secrets, sharding, simhash
+from orthobox.llm import bpe, language, secrets, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _fold(key: str, folds: int, held_out: int) -> Column:
+    """Whether a key's text has the held-out remainder; null keys are never held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == held_out, F.lit(False))
+
+
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = _read(spark, sf_dir, "documents"), _fold("doc_id", 3, 1)
+    model = toxicity.fit(documents, _read(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~held_out)
+    scored = toxicity.score_texts(documents, ["doc_id"], "text", model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_read(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * 24)
 
 
+def op4_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = _read(spark, sf_dir, "documents"), _fold("doc_id", 4, 2)
+    net = language.fit(documents, "doc_id", "text", "lang", ~held_out)
+    return language.label_texts(documents, ["doc_id"], "text", net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_texts(_read(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -32,7 +50,11 @@ def op8_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-_QUERIES = (op2_rendezvous_sharding, op5_entropy_secrets, op6_bpe, op8_simhash_gph)
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_next(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op4_bigru_language, op5_entropy_secrets, op6_bpe, op8_simhash_gph, op9_scaled_sketch)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
