@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthobox.llm import bpe, language, secrets, sharding, simhash, sketch, toxicity
+from orthobox.llm import bpe, language, repeats, secrets, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op4_bigru_language, op5_entropy_secrets, op6_bpe, op8_simhash_gph, op9_scaled_sketch)
+def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op4_bigru_language, op5_entropy_secrets, op6_bpe, op8_simhash_gph, op9_scaled_sketch, op10_radix_repeats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
