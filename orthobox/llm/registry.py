@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthobox.llm import bpe, language, repeats, secrets, sharding, simhash, sketch, toxicity
+from orthobox.llm import bpe, kneser_ney, language, repeats, secrets, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_read(spark, sf_dir, "documents"), ["doc_id"], "text", public_tokenizers.path("byte_bpe_50k.json"), ids=False, decoded=False)
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = _read(spark, sf_dir, "documents"), _fold("doc_id", 10, 0)
+    scored = kneser_ney.score_texts(documents, ["doc_id"], "text", kneser_ney.train(documents.filter(~held_out), "text"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op8_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", width=3, tau=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,7 +64,7 @@ def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op4_bigru_language, op5_entropy_secrets, op6_bpe, op8_simhash_gph, op9_scaled_sketch, op10_radix_repeats)
+_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op4_bigru_language, op5_entropy_secrets, op6_bpe, op7_kneser_ney, op8_simhash_gph, op9_scaled_sketch, op10_radix_repeats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
