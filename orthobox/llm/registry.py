@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthobox.llm import bpe, kneser_ney, language, repeats, secrets, sharding, simhash, sketch, toxicity
+from orthobox.llm import bpe, decontamination, kneser_ney, language, repeats, secrets, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_read(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * 24)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def op4_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = _read(spark, sf_dir, "documents"), _fold("doc_id", 4, 2)
     net = language.fit(documents, "doc_id", "text", "lang", ~held_out)
@@ -64,7 +68,7 @@ def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op4_bigru_language, op5_entropy_secrets, op6_bpe, op7_kneser_ney, op8_simhash_gph, op9_scaled_sketch, op10_radix_repeats)
+_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op3_winnowing, op4_bigru_language, op5_entropy_secrets, op6_bpe, op7_kneser_ney, op8_simhash_gph, op9_scaled_sketch, op10_radix_repeats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_winnowing": decontamination.ORACLE}

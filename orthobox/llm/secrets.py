@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orthobox.llm._rows import map_texts, raw
@@ -140,9 +141,23 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join(out) + text[at:]
 
 
+def redact_rows(df: DataFrame, text: str, length: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """The input's rows and columns, the text's spans replaced by the mark and the length column, if any, by the new text's
+    code points where there were spans. Null texts stay null."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    scanned = scan_texts(df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), list(names.values()), names[text], mark=mark)
+    clean = F.when(F.col("spans") == "", F.col(names[text])).otherwise(F.col("clean_text"))
+    out = {c: F.col(n) for c, n in names.items()} | {text: clean}
+    if length in names:
+        out[length] = F.when(F.col("spans") == "", F.col(names[length])).otherwise(F.length("clean_text").cast(df.schema[length].dataType))
+    return scanned.select(*[v.alias(c) for c, v in out.items()])
+
+
 def scan_texts(df: DataFrame, keep: Sequence[str], text: str, allowed: Sequence[str] = ALLOWED, mark: str | None = None) -> DataFrame:
     """The kept columns with n_assign, n_access, n_hex, n_entropy, base_sha256, spans and, given a mark, clean_text.
 
+    Should a kept column have one of these names, rename it first.
+
     spans lists every span as kind:start:end, base_sha256 digests those of the three base kinds; offsets are code points,
     ends exclusive. clean_text has the spans replaced by the mark; it stays null where the text is null. Null and empty texts
     have no spans.

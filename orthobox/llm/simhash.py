@@ -270,17 +270,34 @@ def _finer(mask: int, tau: int) -> list[int]:
     return sorted({mask | sum(1 << b for b in hidden[i :: tau + 1]) for i in range(tau + 1) if hidden[i :: tau + 1]} or {(1 << 64) - 1})
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """One row per input row: key, fp (long) and component_id, the least key of the row's component.
+def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3, bucket: int = BUCKET, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: key, the kept columns, fp (long), component_id, the least key of the row's component, and
+    root, a fingerprint that names the component.
 
     Two rows are linked if their fingerprints differ in at most tau bits; components are closed under links. Equal
     fingerprints are handled once, so copies cost no pairs. Null keys do not count for component_id, which is null only
     where a component has no other. Empty and null texts have fingerprint 0.
     """
-    docs = settled(fingerprint_texts(df, [key], text, width))
+    docs = settled(fingerprint_texts(df, [key, *keep], text, width))
     least = docs.groupBy("fp").agg(F.min(key).alias("least"))
     roots = connected(find_links(least.select("fp"), tau, bucket))
     labelled = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select(key, "fp", "component_id")
+    classes = labelled.join(smallest, "root").select("fp", "component_id", "root")
+    return docs.join(classes, "fp").select(key, *keep, "fp", "component_id", "root")
+
+
+def one_of_each(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3) -> DataFrame:
+    """The input's rows and columns, but of each component only the row of least key (null keys last).
+
+    Of rows with that key, the one of least row hash stays; repeated rows are one.
+    """
+    sides = [f"{c}_" for c in ("key", "hash")]
+    while set(sides) & set(df.columns):
+        sides = [f"{c}_" for c in sides]
+    hashed = df.withColumns({sides[0]: F.col(key), sides[1]: F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])})
+    found = near_duplicates(hashed.select(*sides, F.col(text)), sides[0], text, width, tau, keep=[sides[1]])
+    order = F.struct(F.col(sides[0]).isNull().alias("no_key"), F.col(sides[0]).alias("k"), F.col(sides[1]).alias("h"))
+    chosen = settled(found.groupBy("root", *sides).agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("m")).select("m.o.k", "m.o.h", "m.n"))
+    kept = hashed.join(chosen, hashed[sides[0]].eqNullSafe(chosen["k"]) & (hashed[sides[1]] == chosen["h"]), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return kept.dropDuplicates() if chosen.filter("n > 1").head(1) else kept

@@ -160,11 +160,11 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
     return Model(hashes, weights, bias)
 
 
-def score_texts(df: DataFrame, keep: Sequence[str], text: str, model: Model) -> DataFrame:
-    """The kept columns and the score, 0 to 1, of every whole text; null texts count as empty."""
+def score_texts(df: DataFrame, keep: Sequence[str], text: str, model: Model, name: str = "score") -> DataFrame:
+    """The kept columns and, under the given name, the score, 0 to 1, of every whole text; null texts count as empty."""
 
     def make():
         tables = Tables()
         return lambda texts: [model.score(texts, tables)]
 
-    return map_texts(df, keep, text, [T.StructField("score", T.DoubleType())], make)
+    return map_texts(df, keep, text, [T.StructField(name, T.DoubleType())], make)
