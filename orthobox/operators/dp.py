@@ -8,6 +8,7 @@ tree costs the sum of its groups' weights; sets of at most `capacity` boxes are
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,60 +93,83 @@ def weights(lo: np.ndarray, hi: np.ndarray, mlo: np.ndarray, mhi: np.ndarray, ob
     return out
 
 
-def optimal_tree(lo: np.ndarray, hi: np.ndarray, capacity: int, **objective) -> tuple[float, list]:
-    """The least cost of a tree over the boxes, and the tree: a list of positions is a leaf, a list of lists an inner node.
+@lru_cache(maxsize=64)
+def _subsets(n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each set of n members, as a bit mask, its subsets that hold its lowest member, itself last; and all sizes."""
+    out = [np.zeros(0, np.int64)]
+    for s in range(1, 1 << n):
+        low = s & -s
+        subs = [0]
+        while subs[-1] != s ^ low:
+            subs.append((subs[-1] - (s ^ low)) & (s ^ low))
+        out.append(np.array(subs, np.int64) | low)
+    return out, np.bitwise_count(np.arange(1 << n)).astype(np.int64)
+
 
-    A dynamic program over subsets as bit masks. part[j][s] is the least cost of parting s into j groups, each paying its
-    weight and its own tree; the group with the lowest box of s is chosen, the rest is part[j - 1].
+def _program(cost: np.ndarray, n: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of weights by subset: the least cost below each subset, into how many groups it is best parted, and the
+    group with its lowest member for each number of groups.
+
+    part[:, j, s] is the least cost of parting s into j groups, each paying its weight and its own tree: the group with the
+    lowest member of s is chosen, the rest is part[:, j - 1].
     """
+    subsets, size = _subsets(n)
+    tree = np.zeros_like(cost)
+    part = np.full((len(cost), capacity + 1, 1 << n), np.inf)
+    part[:, 0, 0] = 0.0
+    chosen = np.zeros((len(cost), capacity + 1, 1 << n), np.int32)
+    groups = np.zeros(cost.shape, np.int32)
+    for s in range(1, 1 << n):
+        proper = subsets[s][:-1]
+        own = cost[:, proper] + tree[:, proper]
+        for j in range(2, min(capacity, size[s]) + 1):
+            total = own + part[:, j - 1, s ^ proper]
+            at = total.argmin(1)
+            part[:, j, s], chosen[:, j, s] = np.take_along_axis(total, at[:, None], 1)[:, 0], proper[at]
+        if size[s] > capacity:
+            groups[:, s] = 2 + part[:, 2:, s].argmin(1)
+            tree[:, s] = part[:, 2:, s].min(1)
+        part[:, 1, s], chosen[:, 1, s] = cost[:, s] + tree[:, s], s
+    return tree, groups, chosen
+
+
+def _weights_by_subset(lo: np.ndarray, hi: np.ndarray, **objective) -> np.ndarray:
     n = len(lo)
-    if n > MOST:
-        raise ValueError(f"{n} boxes; at most {MOST}")
+    member = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(bool)
+    mlo = np.where(member[1:, :, None], lo, np.inf).min(1)
+    mhi = np.where(member[1:, :, None], hi, -np.inf).max(1)
+    return np.concatenate([[0.0], weights(lo, hi, mlo, mhi, **objective)])
+
+
+def optimal_trees(sets: Sequence[tuple[np.ndarray, np.ndarray]], capacity: int, **objective) -> list[tuple[float, list]]:
+    """For each set (lo, hi), all of one size, the least cost of a tree and the tree: a list of positions is a leaf, a list
+    of lists an inner node. Sets share every step of the program."""
     if capacity < 2:
         raise ValueError("capacity: 2 or more")
+    n = len(sets[0][0]) if sets else 0
+    if n > MOST:
+        raise ValueError(f"{n} boxes; at most {MOST}")
     if n <= capacity:
-        return 0.0, list(range(n))
-    full = (1 << n) - 1
-    member = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(bool)
-    mlo = np.where(member[..., None], lo, np.inf).min(1)
-    mhi = np.where(member[..., None], hi, -np.inf).max(1)
-    cost = np.zeros(1 << n)
-    cost[1:] = weights(lo, hi, mlo[1:], mhi[1:], **objective)
-    size = member.sum(1)
-    tree = np.zeros(1 << n)  # cost below a node, without its own weight
-    part = np.full((capacity + 1, 1 << n), np.inf)
-    part[0][0] = 0.0
-    chosen = np.zeros((capacity + 1, 1 << n), dtype=np.int64)
-    groups = np.zeros(1 << n, dtype=np.int64)
-    for s in range(1, full + 1):
-        low = s & -s
-        rest = s ^ low
-        subs = [0]
-        while subs[-1] != rest:  # all subsets of rest, in increasing order
-            subs.append((subs[-1] - rest) & rest)
-        g = np.array(subs) | low
-        proper = g[g != s]
-        for j in range(2, capacity + 1):
-            if size[s] >= j:
-                total = cost[proper] + tree[proper] + part[j - 1][s ^ proper]
-                at = int(np.argmin(total))
-                part[j][s], chosen[j][s] = total[at], proper[at]
-        if size[s] > capacity:
-            groups[s] = 2 + int(np.argmin(part[2:, s]))
-            tree[s] = part[groups[s]][s]
-        part[1][s], chosen[1][s] = cost[s] + tree[s], s
-
-    def grown(s: int) -> list:
-        if size[s] <= capacity:
-            return np.flatnonzero(member[s]).tolist()
-        out, j, left = [], int(groups[s]), s
+        return [(0.0, list(range(n)))] * len(sets)
+    tree, groups, chosen = _program(np.array([_weights_by_subset(*s, **objective) for s in sets]), n, capacity)
+
+    def grown(i: int, s: int) -> list:
+        if int(s).bit_count() <= capacity:
+            return [k for k in range(n) if s >> k & 1]
+        out, j, left = [], int(groups[i, s]), s
         while j:
-            g = int(chosen[j][left])
-            out.append(grown(g))
+            g = int(chosen[i, j, left])
+            out.append(grown(i, g))
             left, j = left ^ g, j - 1
         return out
 
-    return float(tree[full]), grown(full)
+    full = (1 << n) - 1
+    return [(float(tree[i, full]), grown(i, full)) for i in range(len(sets))]
+
+
+def optimal_tree(lo: np.ndarray, hi: np.ndarray, capacity: int, **objective) -> tuple[float, list]:
+    """The least cost of a tree over one set's boxes, and the tree."""
+    return optimal_trees([(lo, hi)], capacity, **objective)[0]
 
 
 def paths(tree: list) -> dict[int, tuple[int, ...]]:
@@ -189,18 +213,28 @@ def solve_groups(df: DataFrame, capacity: int, group: str = "node", key: str = "
     """
     d = axes(df)
     names = [f"{s}_{i}" for s in ("min", "max") for i in range(d)]
-    fields = df.schema[group], df.schema[key]
-    schema = T.StructType([*fields, T.StructField("label", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("n", T.IntegerType())])
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, kind="stable")
-        x = rows[names].to_numpy(dtype=float)
-        cost, tree = optimal_tree(x[:, :d], x[:, d:], capacity, **objective)
-        at = paths(tree)
-        labels = canonical(x[:, :d], [at[i][0] if at[i] else 0 for i in range(len(x))])
-        return pd.DataFrame({group: rows[group].to_numpy(), key: rows[key].to_numpy(), "label": np.array(labels, np.int32), "path": [".".join(map(str, at[i])) for i in range(len(x))], "cost": cost, "n": np.int32(len(x))})[schema.names]
-
-    return df.select(group, key, *[F.col(c).cast("double").alias(c) for c in names]).groupBy(group).applyInPandas(solve, schema)
+    schema = T.StructType([df.schema[group], df.schema[key], T.StructField("label", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("n", T.IntegerType())])
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            by_size: dict[int, list[int]] = {}
+            for i, n in enumerate(f["n"]):
+                by_size.setdefault(int(n), []).append(i)
+            boxes = [np.stack(x).astype(float) for x in f["boxes"]]
+            for n, at in by_size.items():
+                for some in (at[i : i + 256] for i in range(0, len(at), 256)):
+                    solved = optimal_trees([(boxes[i][:, :d], boxes[i][:, d:]) for i in some], capacity, **objective)
+                    for i, (cost, tree) in zip(some, solved):
+                        where = paths(tree)
+                        labels = canonical(boxes[i][:, :d], [where[j][0] if where[j] else 0 for j in range(n)])
+                        yield pd.DataFrame({group: f[group].iloc[i], key: f["keys"].iloc[i], "label": np.array(labels, np.int32), "path": [".".join(map(str, where[j])) for j in range(n)], "cost": cost, "n": np.int32(n)})[schema.names]
+
+    rows = F.struct(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in names]).alias("b"))
+    size = F.count(F.lit(1)).cast("int")
+    listed = df.groupBy(group).agg(size.alias("n"), F.collect_list(rows).alias("rows"))
+    listed = listed.filter(F.when(F.col("n") > MOST, F.raise_error(F.lit(f"a group of over {MOST} boxes")).cast("boolean")).otherwise(F.lit(True)))
+    by_key = listed.withColumn("rows", F.array_sort("rows", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
+    return by_key.select(group, "n", F.transform("rows", lambda r: r["k"]).alias("keys"), F.transform("rows", lambda r: r["b"]).alias("boxes")).mapInPandas(solve, schema)
 
 
 def ultrametric_pairs(solved: DataFrame, group: str = "node", key: str = "id") -> DataFrame:

@@ -1,6 +1,521 @@
-"""Every registered query of the box engine: (spark, sf_dir) -> DataFrame, and the SQL that returns the same rows."""
+"""Every registered query of the box engine: (spark, sf_dir) -> DataFrame, and the SQL that returns the same rows.
+
+All run over whole tables. Numbers that come from arithmetic are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orthobox.functions.boxes import Box, features, mbr
+from orthobox.operators import dp, index, metrics, network, query, splits, workload
+from orthobox.operators.insertion import Node, Tree, least_enlargement, quadratic_split
+from orthobox.plans.tables import CUSTOMER_BOXES, EVENT_POINTS, ORDER_BOXES, ORDER_POINTS, PART_WINDOWS, customer_boxes, event_points, order_boxes, order_points, part_windows, table
+from orthobox.shared import settled, with_rank
+from orthobox.sources.readers import as_boxes, check_boxes, prepare_points
+from orthobox.sources.writers import diagram, export_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+FANOUT, LEVELS, CAPACITY, PARTS = 16, 2, 64, 3
+LO, HI, AT = (10.0, 30.0), (20.0, 40.0), (25.0, 30.0)
+
+
+def _register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(c: Column, name: str) -> Column:
+    return F.round(c, 6).alias(name)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_BOX = "min_0, min_1, max_0, max_1"
+_R = "round(min_0, 6) min_0, round(min_1, 6) min_1, round(max_0, 6) max_0, round(max_1, 6) max_1"
+_MBR = "round(min(min_0), 6) min_0, round(min(min_1), 6) min_1, round(max(max_0), 6) max_0, round(max(max_1), 6) max_1"
+
+# --- box tables, expressions and aggregates
+
+
+@_register(f"select id, {_R} from {ORDER_BOXES}")
+def load_boxes(spark, sf_dir):
+    """Columns named as in a file with separate corner columns, brought into the engine's form and checked."""
+    raw = order_boxes(spark, sf_dir).toDF("id", "min_x", "min_y", "max_x", "max_y")
+    return _rounded(check_boxes(as_boxes(raw, "id")))
+
+
+@_register(f"select id, {_R} from (select id, min_0, min_1, max_0, max_1 from {EVENT_POINTS} where min_1 is not null)")
+def prep_points(spark, sf_dir):
+    points = event_points(spark, sf_dir).select("id", F.col("min_1").alias(" Latitude"), F.col("min_0").alias("LONGITUDE"))
+    return _rounded(prepare_points(points, key="id"))
+
+
+@_register(f"""select id, round((max_0 - min_0) * (max_1 - min_1), 6) area, round(2 * ((max_0 - min_0) + (max_1 - min_1)), 6) perimeter,
+  round((min_0 + max_0) / 2, 6) centre_0, round((min_1 + max_1) / 2, 6) centre_1, round(max_0 - min_0, 6) width, round(max_1 - min_1, 6) height
+  from {ORDER_BOXES}""")
+def box_metrics(spark, sf_dir):
+    b = Box.of(2)
+    c, e = b.centroid(), b.edges()
+    return order_boxes(spark, sf_dir).select("id", _round(b.area(), "area"), _round(b.perimeter(), "perimeter"), _round(c[0], "centre_0"), _round(c[1], "centre_1"), _round(e[0], "width"), _round(e[1], "height"))
+
+
+@_register(f"select {_MBR} from {ORDER_BOXES}")
+def mbr_global(spark, sf_dir):
+    return _rounded(order_boxes(spark, sf_dir).agg(*mbr(Box.of(2))))
+
+
+@_register(f"select user_id, {_MBR} from {EVENT_POINTS} group by user_id")
+def mbr_by_group(spark, sf_dir):
+    return _rounded(event_points(spark, sf_dir).groupBy("user_id").agg(*mbr(Box.of(2))))
+
+
+@_register(f"""select id, case when least(max_0, 20.0) > greatest(min_0, 10.0) and least(max_1, 40.0) > greatest(min_1, 30.0)
+  then round(greatest(min_0, 10.0), 6) end lo_0, case when least(max_0, 20.0) > greatest(min_0, 10.0) and least(max_1, 40.0) > greatest(min_1, 30.0)
+  then round(least(max_1, 40.0), 6) end hi_1 from {ORDER_BOXES}""")
+def box_intersection(spark, sf_dir):
+    x = Box.of(2).intersection(Box.at(LO, HI))
+    return order_boxes(spark, sf_dir).select("id", _round(x["min_0"], "lo_0"), _round(x["max_1"], "hi_1"))
+
+
+@_register(f"""select id, round(greatest(0.0, least(max_0, 20.0) - greatest(min_0, 10.0)) * greatest(0.0, least(max_1, 40.0) - greatest(min_1, 30.0)), 6) area,
+  round(least(min_0, 10.0), 6) min_0, round(greatest(max_1, 40.0), 6) max_1 from {ORDER_BOXES}""")
+def intersection_area(spark, sf_dir):
+    b, o = Box.of(2), Box.at(LO, HI)
+    return order_boxes(spark, sf_dir).select("id", _round(b.intersection_area(o), "area"), _round(b.union(o).lo[0], "min_0"), _round(b.union(o).hi[1], "max_1"))
+
+
+@_register(f"select id, round(power(greatest(0.0, min_0 - 25.0, 25.0 - max_0), 2) + power(greatest(0.0, min_1 - 30.0, 30.0 - max_1), 2), 6) dist_sq from {ORDER_BOXES}")
+def min_dist(spark, sf_dir):
+    return order_boxes(spark, sf_dir).select("id", _round(Box.of(2).min_dist_sq(AT), "dist_sq"))
+
+
+@_register(f"""with b as (select * from {CUSTOMER_BOXES}), e as (select min(min_0) a, min(min_1) b, max(max_0) c, max(max_1) d from b)
+  select id, round((min_0 - a) / (c - a), 6) f0, round((max_1 - b) / (d - b), 6) f3, round((max_0 - min_0) / (c - a), 6) f4,
+  round((max_0 - min_0) / (c - a) * ((max_1 - min_1) / (d - b)), 6) f6, round(((min_1 - b) / (d - b) + (max_1 - b) / (d - b)) / 2, 6) f8 from b, e""")
+def box_features(spark, sf_dir):
+    boxes = customer_boxes(spark, sf_dir)
+    f = features(Box.of(2), Box.of(2, "x"))
+    both = boxes.join(F.broadcast(boxes.agg(*mbr(Box.of(2), "x"))))  # one row
+    return both.select("id", *[_round(f[i], f"f{i}") for i in (0, 3, 4, 6, 8)])
+
+
+# --- queries
+
+
+@_register(f"select id from {ORDER_BOXES} where max_0 > 10 and min_0 < 20 and max_1 > 30 and min_1 < 40")
+def range_open(spark, sf_dir):
+    return query.range_query(order_boxes(spark, sf_dir), LO, HI).select("id")
+
+
+@_register(f"select id from {ORDER_BOXES} where max_0 > 20 and min_0 < 30 and max_1 > 0 and min_1 < 200")
+def range_touching(spark, sf_dir):
+    """The window starts and ends on whole quantities: boxes that end or start there touch it and are no results."""
+    return query.range_query(order_boxes(spark, sf_dir), (20, 0), (30, 200)).select("id")
+
+
+@_register(f"select id from {ORDER_BOXES} where min_0 <= 25 and max_0 >= 25 and min_1 <= 30 and max_1 >= 30")
+def point_closed(spark, sf_dir):
+    return query.point_query(order_boxes(spark, sf_dir), AT).select("id")
+
+
+@_register(f"select id from {ORDER_BOXES} where max_0 > 25 and min_0 < 25 and max_1 > 30 and min_1 < 30")
+def point_as_rect(spark, sf_dir):
+    return query.point_as_box_query(order_boxes(spark, sf_dir), AT).select("id")
+
+
+@_register(f"""select id, round(power(min_0 - 250, 2) + power(min_1 - 1200, 2), 6) dist_sq from {ORDER_POINTS}
+  order by power(min_0 - 250, 2) + power(min_1 - 1200, 2), id limit 10""")
+def knn(spark, sf_dir):
+    return query.knn(order_points(spark, sf_dir), (250, 1200), 10).select("id", _round(F.col("dist_sq"), "dist_sq"))
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@_register("""select vec_id id, round(list_sum([power(greatest(0.0, x::double - 0.05, 0.05 - x::double), 2) for x in embedding]), 4) dist_sq
+  from embeddings order by list_sum([power(greatest(0.0, x::double - 0.05, 0.05 - x::double), 2) for x in embedding]), vec_id limit 10""")
+def knn_64d(spark, sf_dir):
+    b = Box.arrays(F.col("v"), F.col("v"), 64)
+    return _vectors(spark, sf_dir).withColumn("d", b.min_dist_sq([0.05] * 64)).orderBy("d", "id").limit(10).select("id", F.round("d", 4).alias("dist_sq"))
+
+
+_HIT = "b.max_0 > q.qmin_0 and b.min_0 < q.qmax_0 and b.max_1 > q.qmin_1 and b.min_1 < q.qmax_1"
+
+
+@_register(f"select qid, id from {PART_WINDOWS} q join {ORDER_POINTS} b on {_HIT}")
+def range_join(spark, sf_dir):
+    return query.range_join(part_windows(spark, sf_dir), order_points(spark, sf_dir))
+
+
+@_register(f"select q.qid, count(b.id) n_results from {PART_WINDOWS} q left join {CUSTOMER_BOXES} b on {_HIT} group by q.qid")
+def range_join_counts(spark, sf_dir):
+    return query.range_join_counts(part_windows(spark, sf_dir), customer_boxes(spark, sf_dir))
+
+
+@_register(f"select qid from {PART_WINDOWS} q where exists (select 1 from {ORDER_POINTS} b where {_HIT})")
+def range_semi(spark, sf_dir):
+    return query.range_join(part_windows(spark, sf_dir), order_points(spark, sf_dir), how="semi").select("qid")
+
+
+@_register(f"select qid from {PART_WINDOWS} q where not exists (select 1 from {ORDER_POINTS} b where {_HIT})")
+def range_anti(spark, sf_dir):
+    return query.range_join(part_windows(spark, sf_dir), order_points(spark, sf_dir), how="anti").select("qid")
+
+
+def _part_points(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), (F.col("p_size") * 10.0).alias("q_0"), ((F.col("p_retailprice") - 900) * 24).alias("q_1"))
+
+
+@_register(f"""select qid, id, round(d, 6) dist_sq, rank from (select qid, id, d, cast(row_number() over (partition by qid order by d, id) as int) rank
+  from (select p_partkey qid, id, power(min_0 - p_size * 10.0, 2) + power(min_1 - (p_retailprice - 900) * 24, 2) d from part, {ORDER_POINTS})) where rank <= 3""")
+def knn_join(spark, sf_dir):
+    tree = index.build_str(order_points(spark, sf_dir), CAPACITY, FANOUT, LEVELS)
+    return _rounded(query.knn_join(_part_points(spark, sf_dir), tree.nodes, tree.entries, 3))
+
+
+# --- a sort-tile index: 16 slabs by the first axis' centres, 16 tiles of each by the second's
+
+_STR = f"""with b as (select * from {ORDER_BOXES}), s as (select *, ntile({FANOUT}) over (order by (min_0 + max_0) / 2, id) - 1 sl from b),
+l as (select *, ntile({FANOUT}) over (partition by sl order by (min_1 + max_1) / 2, id) - 1 tl from s),
+e as (select id, {_BOX}, 'r.' || sl || '.' || tl node_id, 'r.' || sl slab from l),
+nodes as (select node_id, slab parent_id, 2 as level, true is_leaf, count(*) n_entries, count(*) n_children, min(min_0) min_0, min(min_1) min_1, max(max_0) max_0, max(max_1) max_1 from e group by 1, 2
+  union all select slab, 'r', 1, false, count(*), count(distinct node_id), min(min_0), min(min_1), max(max_0), max(max_1) from e group by 1
+  union all select 'r', null, 0, false, count(*), count(distinct slab), min(min_0), min(min_1), max(max_0), max(max_1) from e)
+"""
+
+
+def _tree(spark, sf_dir):
+    return index.build_str(order_boxes(spark, sf_dir), CAPACITY, FANOUT, LEVELS)
+
+
+@_register(f"{_STR} select id, node_id from e")
+def str_leaves(spark, sf_dir):
+    return _tree(spark, sf_dir).entries.select("id", "node_id")
+
+
+@_register(f"{_STR} select level, count(*) n_nodes, cast(sum(is_leaf::int) as bigint) n_leaves from nodes group by level")
+def tree_levels(spark, sf_dir):
+    return _tree(spark, sf_dir).levels()
+
+
+@_register(f"{_STR} select node_id, parent_id, level, is_leaf leaf, n_entries, n_children, {_R} from nodes")
+def export_nodes(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    sizes = tree.nodes.select(F.col("node_id").alias("id"), F.col("n_entries").cast("long"), F.col("n_children").cast("long"))
+    out = export_tables(tree)["tree_node"].join(sizes, "id")
+    return _rounded(out.select(F.col("id").alias("node_id"), "parent_id", F.col("level").cast("int"), "leaf", "n_entries", "n_children", "min_0", "min_1", "max_0", "max_1"))
+
+
+@_register(f"{_STR} select 'n' kind, count(*) n from nodes union all select 'l', count(*) - 1 from nodes")
+def export_diagram(spark, sf_dir):
+    lines = diagram(_tree(spark, sf_dir)).filter("n in (1, 2)")
+    return lines.groupBy(F.when(F.col("n") == 1, "n").otherwise("l").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(f"{_STR} select node_id, level from nodes where max_0 > 10 and min_0 < 20 and max_1 > 30 and min_1 < 40")
+def query_nodes(spark, sf_dir):
+    return query.query_nodes(_tree(spark, sf_dir).nodes, Box.at(LO, HI), leaves=False).select("node_id", F.col("level").cast("int"))
+
+
+@_register(f"""{_STR} select id from e where slab in (select node_id from nodes where level = 1 and max_0 - min_0 > 20)
+  and node_id in (select node_id from nodes where level = 2 and max_0 - min_0 > 20) and (max_0 - min_0) * (max_1 - min_1) > 100""")
+def search(spark, sf_dir):
+    """A condition that is not about containment: a narrow node prunes its subtree, whatever is below."""
+    tree, wide = _tree(spark, sf_dir), F.col("max_0") - F.col("min_0") > 20
+    return query.search(tree.nodes, tree.entries, wide, Box.of(2).area() > 100).select("id")
+
+
+_OVERLAP = f"""{_STR}, o as (select coalesce(sum(greatest(0.0, least(a.max_0, b.max_0) - greatest(a.min_0, b.min_0)) * greatest(0.0, least(a.max_1, b.max_1) - greatest(a.min_1, b.min_1))), 0) overlap
+  from nodes a join nodes b on a.parent_id = b.parent_id and a.node_id < b.node_id), c as (select sum((max_0 - min_0) * (max_1 - min_1)) coverage from nodes where parent_id is not null)"""
+
+
+@_register(f"{_OVERLAP} select round(overlap, 6) overlap from o")
+def overlap(spark, sf_dir):
+    return _rounded(metrics.sibling_overlap(_tree(spark, sf_dir).nodes))
+
+
+@_register(f"{_OVERLAP} select round(coverage, 6) coverage from c")
+def coverage(spark, sf_dir):
+    return _rounded(metrics.coverage(_tree(spark, sf_dir).nodes))
+
+
+@_register(f"{_OVERLAP} select round(overlap, 6) overlap, round(coverage, 6) coverage, round(overlap / coverage, 6) overlap_ratio from o, c")
+def overlap_ratio(spark, sf_dir):
+    return _rounded(metrics.overlap_ratio(_tree(spark, sf_dir).nodes))
+
+
+_SMALL_WINDOWS = "(select p_partkey qid, p_size - 3.0 qmin_0, p_retailprice - 905 qmin_1, p_size + 3.0 qmax_0, p_retailprice - 895 qmax_1 from part)"
+
+
+@_register(f"""{_STR}, q as (select * from {_SMALL_WINDOWS}), t as (select q.qid, n.node_id, {_HIT.replace('b.', 'n.')} hit,
+  n.parent_id is null or ({_HIT.replace('b.', 'p.')} and (p.parent_id is null or ({_HIT.replace('b.', 'g.')}))) tested
+  from q cross join nodes n left join nodes p on n.parent_id = p.node_id left join nodes g on p.parent_id = g.node_id)
+  select qid, count(*) nodes_tested, cast(sum(hit::int) as bigint) nodes_opened from t where tested group by qid""")
+def nodes_tested(spark, sf_dir):
+    y = F.col("p_retailprice")
+    windows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), *Box((F.col("p_size") - 3.0, y - 905), (F.col("p_size") + 3.0, y - 895)).named("q"))
+    return metrics.node_accesses(windows, _tree(spark, sf_dir).nodes)
+
+
+@_register(f"""{_STR} select a.node_id, a.id a, b.id b, round(greatest(0.0, least(a.max_0, b.max_0) - greatest(a.min_0, b.min_0)) * greatest(0.0, least(a.max_1, b.max_1) - greatest(a.min_1, b.min_1)), 6) area
+  from e a join e b on a.node_id = b.node_id and a.id < b.id and a.max_0 > b.min_0 and a.min_0 < b.max_0 and a.max_1 > b.min_1 and a.min_1 < b.max_1""")
+def self_overlap_pairs(spark, sf_dir):
+    return _rounded(query.sibling_pairs(_tree(spark, sf_dir).entries, "node_id"))
+
+
+# --- other builds: the answers must be those of the plain predicate
+
+
+def _top_down_sql(depth: int = 12) -> str:
+    """The fallback build to a fixed depth, deep enough for these tables: nodes over CAPACITY are cut, others are left."""
+    out = [f"with t0 as (select id, {_BOX}, 'r' node_id from {ORDER_POINTS})"]
+    for level in range(depth):
+        axis = level % 2
+        cut = f"cast(floor((row_number() over (partition by node_id order by (min_{axis} + max_{axis}) / 2, id) - 1) / ceil(count(*) over (partition by node_id) / {PARTS}.0)) as int)"
+        out.append(f"t{level + 1} as (select id, {_BOX}, case when count(*) over (partition by node_id) > {CAPACITY} then node_id || '.' || {cut} else node_id end node_id from t{level})")
+    return ", ".join(out) + f" select id, node_id from t{depth}"
+
+
+@_register(_top_down_sql())
+def build_topdown_fallback(spark, sf_dir):
+    return index.build_top_down(order_points(spark, sf_dir), CAPACITY, PARTS).entries.select("id", "node_id")
+
+
+def _answers(tree: index.SpatialIndex) -> DataFrame:
+    return query.indexed_range_query(tree.nodes, tree.entries, Box.at((100, 500), (200, 1500))).select("id")
+
+
+_ANSWERS = f"select id from {ORDER_POINTS} where max_0 > 100 and min_0 < 200 and max_1 > 500 and min_1 < 1500"
+
+
+@_register(_ANSWERS)
+def indexed_range_str(spark, sf_dir):
+    return _answers(index.build_str(order_points(spark, sf_dir), CAPACITY))
+
+
+@_register(_ANSWERS)
+def build_guttman(spark, sf_dir):
+    return _answers(index.build_local(order_points(spark, sf_dir), CAPACITY, "guttman"))
+
+
+@_register(_ANSWERS)
+def build_rstar(spark, sf_dir):
+    return _answers(index.build_local(order_points(spark, sf_dir), CAPACITY, "rstar"))
+
+
+def _learned(spark, sf_dir) -> index.SpatialIndex:
+    points = order_points(spark, sf_dir)
+    ranked = with_rank(points, [F.col("id")])
+    samples = settled(network.training_samples(ranked, points.count(), 100, groups=PARTS))
+    net = network.train(samples, PARTS, hidden=32, epochs=5)
+    return index.build_top_down(points, CAPACITY, PARTS, network.labeller(net, 2, PARTS))
+
+
+@_register(_ANSWERS)
+def build_learned(spark, sf_dir):
+    return _answers(_learned(spark, sf_dir))
+
+
+@_register()
+def index_quality(spark, sf_dir):
+    """Tidy metrics of each build under one workload."""
+    points = settled(order_points(spark, sf_dir))
+    windows = settled(workload.relative_windows(points, 200, 0.01))
+    out = None
+    for name, tree in (("str", index.build_str(points, CAPACITY)), ("topdown", index.build_top_down(points, CAPACITY, PARTS)), ("guttman", index.build_local(points, CAPACITY, "guttman")), ("rstar", index.build_local(points, CAPACITY, "rstar"))):
+        access = metrics.node_accesses(windows, tree.nodes).agg(F.avg("nodes_tested").alias("nodes_tested"), F.avg("nodes_opened").alias("nodes_opened"))
+        rows = metrics.tidy(metrics.overlap_ratio(tree.nodes).crossJoin(access), "orders", name, CAPACITY, "relative", 0.01)  # one row each
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# --- decisions of insertion-built trees, for all leaves of the sort-tile index at once
+
+
+def _leaf_boxes(spark, sf_dir):
+    return _tree(spark, sf_dir).entries.select(F.col("node_id").alias("node"), "id", *Box.of(2).named())
+
+
+@_register(f"""{_STR}, p as (select a.node_id node, a.id a, b.id b, round((greatest(a.max_0, b.max_0) - least(a.min_0, b.min_0)) * (greatest(a.max_1, b.max_1) - least(a.min_1, b.min_1))
+  - (a.max_0 - a.min_0) * (a.max_1 - a.min_1) - (b.max_0 - b.min_0) * (b.max_1 - b.min_1), 9) waste from e a join e b on a.node_id = b.node_id and a.id < b.id)
+  select node, a, b, round(waste, 6) waste from (select *, row_number() over (partition by node order by waste desc, a, b) r from p) where r = 1""")
+def pick_seeds(spark, sf_dir):
+    return _rounded(splits.pick_seeds(_leaf_boxes(spark, sf_dir)))
+
+
+@_register(f"""{_STR}, c as (select e.id, n.node_id child, round((greatest(e.max_0, n.max_0) - least(e.min_0, n.min_0)) * (greatest(e.max_1, n.max_1) - least(e.min_1, n.min_1))
+  - (n.max_0 - n.min_0) * (n.max_1 - n.min_1), 9) enlargement, round((n.max_0 - n.min_0) * (n.max_1 - n.min_1), 9) area from e join nodes n on n.parent_id = e.slab),
+  m as (select *, min(enlargement) over (partition by id) least from c), t as (select *, row_number() over (partition by id order by area, child) r from m
+  where enlargement - least <= 1e-5 * greatest(abs(enlargement), abs(least)))
+  select id, child, round(enlargement, 6) enlargement from t where r = 1""")
+def choose_subtree(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    boxes = tree.entries.select("id", *Box.of(2).named(), F.regexp_replace("node_id", r"\.[^.]*$", "").alias("parent_id"))
+    return _rounded(splits.choose_subtree(boxes, tree.nodes))
+
+
+_LEAST = 20
+_HEAD = "over (partition by node_id, axis, side order by edge, id rows between unbounded preceding and current row)"
+_REST = "over (partition by node_id, axis, side order by edge, id rows between 1 following and unbounded following)"
+_SPLITS = f"""{_STR}, o as (select e.*, axis, side, case when axis = 0 and side = 0 then min_0 when axis = 0 then max_0 when side = 0 then min_1 else max_1 end edge
+  from e, (select unnest([0, 0, 1, 1]) axis, unnest([0, 1, 0, 1]) side)),
+ w as (select node_id node, axis, side, row_number() over (partition by node_id, axis, side order by edge, id) first, count(*) over (partition by node_id, axis, side) size,
+  {', '.join(f'{f}({f}_{i}) {w} {s}{f}_{i}' for s, w in (('a', _HEAD), ('b', _REST)) for f in ('min', 'max') for i in (0, 1))} from o),
+ cand as (select node, axis, side, cast(first as int) as first,
+  round(greatest(0.0, least(amax_0, bmax_0) - greatest(amin_0, bmin_0)) * greatest(0.0, least(amax_1, bmax_1) - greatest(amin_1, bmin_1)), 9) overlap,
+  round((amax_0 - amin_0) * (amax_1 - amin_1) + (bmax_0 - bmin_0) * (bmax_1 - bmin_1), 9) area,
+  round(2 * ((amax_0 - amin_0) + (amax_1 - amin_1)) + 2 * ((bmax_0 - bmin_0) + (bmax_1 - bmin_1)), 9) perimeter
+  from w where first >= {_LEAST} and size - first >= {_LEAST})"""
+
+
+@_register(f"{_SPLITS} select node, axis, side, first, round(overlap, 6) overlap, round(area, 6) area, round(perimeter, 6) perimeter from cand")
+def split_candidates(spark, sf_dir):
+    return _rounded(splits.split_candidates(_leaf_boxes(spark, sf_dir), _LEAST))
+
+
+@_register(f"""{_SPLITS}, x as (select node, axis, row_number() over (partition by node order by round(sum(perimeter), 6), axis) r from cand group by node, axis),
+ y as (select s.*, min(overlap) over (partition by s.node) least from cand s join x on s.node = x.node and s.axis = x.axis and x.r = 1),
+ z as (select *, row_number() over (partition by node order by area, side, first) r from y where overlap = least or overlap - least <= 1e-5 * overlap)
+ select node, axis, side, first from z where r = 1""")
+def rstar_split(spark, sf_dir):
+    return splits.rstar_split(splits.split_candidates(_leaf_boxes(spark, sf_dir), _LEAST))
+
+
+@_register()
+def quadratic_splits(spark, sf_dir):
+    """Each leaf parted by the quadratic rule: node, id, side."""
+
+    def part(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        x = rows[["min_0", "min_1", "max_0", "max_1"]].to_numpy(float)
+        tree = Tree(x[:, :2], x[:, 2:], max(2, len(x) - 1), least_enlargement, quadratic_split)
+        one, _ = quadratic_split(tree, Node(True, list(range(len(x))))) if len(x) > 1 else ([0], [])
+        return pd.DataFrame({"node": rows["node"].to_numpy(), "id": rows["id"].to_numpy(), "side": [int(i not in set(one)) for i in range(len(x))]})
+
+    return _leaf_boxes(spark, sf_dir).groupBy("node").applyInPandas(part, "node string, id long, side int")
+
+
+# --- workloads, hit probabilities and optimal trees, for all runs of a few orders in id order
+
+
+def _runs(spark, sf_dir, size: int) -> DataFrame:
+    return with_rank(order_boxes(spark, sf_dir), [F.col("id")]).withColumn("node", F.floor(F.col("rank") / size).cast("long")).drop("rank")
+
+
+def _runs_sql(size: int) -> str:
+    return f"(select *, cast(floor((row_number() over (order by id) - 1) / {size}) as bigint) node from {ORDER_BOXES})"
+
+
+@_register(f"""with b as (select * from {_runs_sql(4)}), x as (select distinct node, unnest([min_0, max_0]) v from b), y as (select distinct node, unnest([min_1, max_1]) v from b),
+ px as (select a.node, a.v lo, b.v hi from x a join x b on a.node = b.node and a.v < b.v), py as (select a.node, a.v lo, b.v hi from y a join y b on a.node = b.node and a.v < b.v)
+ select px.node, count(*) n, round(sum((px.hi - px.lo) * (py.hi - py.lo)), 6) area from px join py on px.node = py.node group by px.node""")
+def query_set(spark, sf_dir):
+    """How many workload boxes each four orders have, and their summed area."""
+    every = dp.query_set(_runs(spark, sf_dir, 4))
+    return every.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(Box.of(2).area()), 6).alias("area"))
+
+
+def _axis_share(i: int) -> str:
+    return f"""c{i} as (select distinct node, unnest([min_{i}, max_{i}]) v from b),
+ k{i} as (select b.node, b.id, count(*) p, sum((v < min_{i})::int) l, sum((v > max_{i})::int) r from b join c{i} on b.node = c{i}.node group by 1, 2),
+ s{i} as (select node, id, case when p > 1 then 1 - (l * (l - 1) / 2.0 + r * (r - 1) / 2.0) / (p * (p - 1) / 2.0) else 0 end s from k{i})"""
+
+
+@_register(f"with b as (select * from {_runs_sql(8)}), {_axis_share(0)}, {_axis_share(1)} select s0.node, s0.id, round(s0.s * s1.s, 6) probability from s0 join s1 using (node, id)")
+def hit_probability(spark, sf_dir):
+    return _rounded(dp.hit_probability(_runs(spark, sf_dir, 8)))
+
+
+def _solved(spark, sf_dir):
+    return dp.solve_groups(_runs(spark, sf_dir, 7), PARTS)
+
+
+@_register()
+def dp_cost(spark, sf_dir):
+    """The cost of the optimal tree of each seven orders."""
+    return _rounded(_solved(spark, sf_dir).groupBy("node").agg(F.first("cost").alias("cost"), F.first("n").alias("n")))
+
+
+@_register()
+def dp_labels(spark, sf_dir):
+    return _solved(spark, sf_dir).select("node", "id", "label")
+
+
+@_register()
+def ultrametric(spark, sf_dir):
+    return dp.ultrametric_pairs(settled(_solved(spark, sf_dir)))
+
+
+# --- training data of the partition network
+
+
+@_register(f"select id, round(-1.1 * max_0, 6) min_0, round(1.1 * min_1, 6) min_1, round(-1.1 * min_0, 6) max_0, round(1.1 * max_1, 6) max_1 from {ORDER_BOXES}")
+def augment_fixed(spark, sf_dir):
+    return _rounded(network.augment(order_boxes(spark, sf_dir), 1.1, [True, False])).select("id", "min_0", "min_1", "max_0", "max_1")
+
+
+@_register(f"""with b as (select *, id % 3 label from {_runs_sql(8)}), c as (select node, label, min(min_0) x, min(min_1) y from b group by 1, 2),
+ r as (select node, label, cast(row_number() over (partition by node order by x, y, label) - 1 as int) new from c)
+ select b.node sample_id, b.id, r.new as label from b join r on b.node = r.node and b.label = r.label""")
+def canonical_labels(spark, sf_dir):
+    rows = _runs(spark, sf_dir, 8).withColumnRenamed("node", "sample_id").withColumn("label", F.col("id") % 3)
+    return network.canonical_labels(rows)
+
+
+@_register(f"""with b as (select id, row_number() over (order by id) - 1 rank, count(*) over () n from {ORDER_BOXES}),
+ s as (select rank // 5 sample_id, rank // 5 * 5 start from b where rank % 5 = 0 and rank + 8 <= n) select s.sample_id, b.id from s join b on b.rank between s.start and s.start + 7""")
+def sample_windows(spark, sf_dir):
+    """A window of eight orders at every fifth place."""
+    ranked = with_rank(order_boxes(spark, sf_dir), [F.col("id")])
+    n = ranked.count()
+    starts = spark.range(max(0, (n - 8) // 5 + 1)).select(F.col("id").alias("sample_id"), (F.col("id") * 5).alias("start"), F.lit(8).cast("long").alias("size"))
+    return network.sample_windows(ranked, starts).select("sample_id", "id")
+
+
+@_register()
+def workloads(spark, sf_dir):
+    """Windows and points of every generator, for one seed."""
+    points = order_points(spark, sf_dir)
+    boxes = {"random": workload.random_ranges(points, 1000), "small": workload.random_ranges(points, 1000, 0.001, 0.01, clip=True), "points": workload.random_points_as_boxes(points, 1000), "relative": workload.relative_windows(points, 1000, 0.01), "fixed": workload.fixed_windows(points, 1000, 25.0)}
+    out = None
+    for name, df in boxes.items():
+        rows = df.select(F.lit(name).alias("workload"), "qid", "qmin_0", "qmin_1", "qmax_0", "qmax_1")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_register()
+def synthetic_points(spark, sf_dir):
+    return workload.synthetic_points(spark, 10_000, 8)
+
+
+@_register(f"select user_id, {_MBR} from {EVENT_POINTS} group by user_id")
+def stream_mbr(spark, sf_dir):
+    """Extents by user from events read as a stream, each row once."""
+    import uuid
+
+    from orthobox.streaming.boxes import running_mbr
+
+    name = f"mbr_{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    x = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3.6e9
+    points = stream.select("user_id", *Box.point([x, F.col("value")]).named())
+    running = running_mbr(points, "user_id").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return _rounded(spark.table(name))
