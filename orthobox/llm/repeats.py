@@ -280,8 +280,8 @@ def _first_windows(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (of, s, e)], names=["doc", "a", "b"])
 
 
-def _with_order(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Columns key, doc, t: doc a long that orders the documents.
+def _with_order(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Columns key, doc, t: doc a long that orders the documents; and doc, t with each document once.
 
     Unique integer keys are their own order. Else documents are the different pairs of key and text, by key (null last) and
     then the text's SHA-256.
@@ -290,18 +290,20 @@ def _with_order(df: DataFrame, key: str, text: str) -> DataFrame:
     if df.schema[key].dataType in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType()):
         repeated = rows.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or key is null")
         if not repeated.head(1):
-            return rows.withColumn("doc", F.col("key").cast("long"))
+            rows = rows.withColumn("doc", F.col("key").cast("long"))
+            return rows, rows.select("doc", "t")
     named = rows.withColumn("sha", F.sha2("t", 256))
     order = named.select("key", "sha").distinct().orderBy(F.asc_nulls_last("key"), "sha")
     schema = T.StructType([T.StructField("key2", df.schema[key].dataType), T.StructField("sha2", T.StringType()), T.StructField("doc", T.LongType())])
     numbered = settled(df.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), schema))
-    return named.join(numbered, named["key"].eqNullSafe(numbered["key2"]) & (named["sha"] == numbered["sha2"])).select("key", "t", "doc")
+    rows = named.join(numbered, named["key"].eqNullSafe(numbered["key2"]) & (named["sha"] == numbered["sha2"])).select("key", "t", "doc")
+    return rows, rows.select("doc", "t").dropDuplicates(["doc"])
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc, a, b: spans whose union, in each document, are its bytes that a window covers which also starts earlier.
 
-    docs: doc (long, the order) and t (binary), one row per document; repeated rows count as one document.
+    docs: doc (long, the order) and t (binary), one row per document.
     """
     gram = min(gram, depth)
     if depth < 2 or depth > 4000:
@@ -334,8 +336,8 @@ def remove_repeats(df: DataFrame, key: str, text: str, depth: int = DEPTH, gram:
     last; rows with equal keys are ordered by their texts' SHA-256, and repeated rows (equal key and text) are one document,
     with one result.
     """
-    docs = _with_order(df, key, text)
-    spans = repeated_spans(docs.select("doc", "t"), depth, gram, group).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    docs, once = _with_order(df, key, text)
+    spans = repeated_spans(once, depth, gram, group).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = docs.join(spans, "doc", "left").select("key", "t", F.expr("transform(spans, x -> x.a)").alias("a"), F.expr("transform(spans, x -> x.b)").alias("b"))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if kept else [])])
     arrow = to_arrow_schema(schema)
