@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orthobox.llm._rows import map_texts, raw
+from orthobox.llm._rows import map_texts
 from orthobox.llm._shared import settled
 from orthobox.llm.components import connected
 
@@ -49,9 +49,12 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [hashed(line[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[width - 1 :])]
 
 
-def fingerprints(texts: Sequence[bytes], width: int) -> np.ndarray:
-    """The 64-bit SimHash of each text: a bit is 1 where over half of the hashes have it; 0 for no words."""
+def fingerprints(texts: Sequence[bytes], width: int, distinct: bool = False) -> np.ndarray:
+    """The 64-bit SimHash of each text: a bit is 1 where over half of the hashes have it; 0 for no words. Repeated shingles
+    count as often as they occur, or once."""
     hashes = [shingle_hashes(t, width) for t in texts]
+    if distinct:
+        hashes = [list(set(h)) for h in hashes]
     counts = np.array([len(h) for h in hashes], dtype=np.int64)
     out = np.zeros(len(texts), dtype=np.uint64)
     full = np.flatnonzero(counts)
@@ -172,7 +175,7 @@ def plan_masks(fps: DataFrame, tau: int) -> list[int]:
     odds = (2 * p * (1 - p)) / np.maximum(1 - 2 * p * (1 - p), 1e-9)
     plans = {m: group_bits(together, n, m) for m in partitionings()}
     f2 = _statistics(fps, plans)
-    best: tuple[float, list[int]] = (np.inf, [])
+    best: tuple[float, list[list[int]], list[int]] = (np.inf, [], [])
     for m, parts in plans.items():
         costs = []
         for i, bits in enumerate(parts):
@@ -187,81 +190,96 @@ def plan_masks(fps: DataFrame, tau: int) -> list[int]:
             costs.append(row)
         cost, ts = allocate(costs, tau)
         if cost < best[0]:
-            best = (cost, [x for bits, t in zip(parts, ts) for x in masks_of(bits, t)])
-    return best[1]
+            best = (cost, parts, ts)
+    return [x for bits, t in zip(best[1], best[2]) for x in masks_of(bits, t)]
 
 
-def _bucket_links(v: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join each component of a bucket's fingerprints: as many as its members less its components."""
-    left = v
-    while len(left) > 1:
-        front, left = [left[:1]], left[1:]
-        while front and len(left):
+def _near(rows: np.ndarray, of: np.ndarray, taus: Sequence[int]) -> np.ndarray:
+    """Which rows (each row a column: its fingerprints, and last its id) are within all taus of others."""
+    out = np.bitwise_count(rows[0] ^ of[0]) <= taus[0]
+    for x, y, tau in zip(rows[1:], of[1:], taus[1:]):
+        out &= np.bitwise_count(x ^ y) <= tau
+    return out
+
+
+def _bucket_links(rows: np.ndarray, taus: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join each component of a bucket's rows: as many as its members less its components."""
+    left = rows
+    while left.shape[1] > 1:
+        front, left = [left[:, 0]], left[:, 1:]
+        while front and left.shape[1]:
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= tau
+            near = _near(left, x, taus)
             if near.any():
-                got, left = left[near], left[~near]
-                yield np.repeat(x, len(got)), got
-                front += [got[i : i + 1] for i in range(len(got))]
+                got, left = left[:, near], left[:, ~near]
+                yield np.repeat(x[-1], got.shape[1]), got[-1]
+                front += list(got.T)
 
 
-def _links(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """Links of buckets that come in order of their key; a bucket may go on over batches."""
-    key = fp = None
+def _links(batches: Iterator[pa.RecordBatch], taus: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """Links of buckets that come in order of their key (mask, value); a bucket may go on over batches.
 
-    def done(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    After the key come one fingerprint per tau and, if there are several, an id; a single one is its own.
+    """
+    key = rows = None
+
+    def done(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-        a, b = [], []
+        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [rows.shape[1]]])
         pairs = ends - starts == 2  # the commonest size, all at once
-        x, y = fp[starts[pairs]], fp[starts[pairs] + 1]
-        near = np.bitwise_count(x ^ y) <= tau
-        a.append(x[near])
-        b.append(y[near])
+        x, y = rows[:, starts[pairs]], rows[:, starts[pairs] + 1]
+        near = _near(x, y, taus)
+        a, b = [x[-1][near]], [y[-1][near]]
         for s, e in zip(*(z[ends - starts > 2].tolist() for z in (starts, ends))):
-            for x, y in _bucket_links(fp[s:e], tau):
+            for x, y in _bucket_links(rows[:, s:e], taus):
                 a.append(x)
                 b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64), pa.int64()) for z in (a, b)], names=["a", "b"])
+        once = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(z).view(np.int64), pa.int64()) for z in once.T], names=["a", "b"])
 
     for batch in batches:
         k = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
-        f = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-        key, fp = (k, f) if key is None else (np.concatenate([key, k]), np.concatenate([fp, f]))
-        last = np.any(key != key[-1], axis=1)
+        r = np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2, batch.num_columns)])
+        key, rows = (k, r) if key is None else (np.concatenate([key, k]), np.concatenate([rows, r], axis=1))
+        last = np.any(key != key[-1], axis=1) if len(key) else np.zeros(0, bool)
         cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
         if cut:
-            yield from done(key[:cut], fp[:cut])
-            key, fp = key[cut:], fp[cut:]
+            yield from done(key[:cut], rows[:, :cut])
+            key, rows = key[cut:], rows[:, cut:]
     if key is not None and len(key):
-        yield from done(key, fp)
+        yield from done(key, rows)
+
 
+def _under(rows: DataFrame, masks: Column, columns: Sequence[str]) -> DataFrame:
+    return rows.select(*columns, F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), *columns)
 
-def _under(rows: DataFrame, masks: Column) -> DataFrame:
-    return rows.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
 
+def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET, check: int | None = None) -> DataFrame:
+    """Links a, b that join all fingerprints (column fp, long, distinct) within tau bits of each other.
 
-def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp, long) that join all those within tau bits of each other."""
+    With check, rows have a second fingerprint (column check) that must be within `check` bits too, and a distinct id (long),
+    which the links name.
+    """
+    columns, taus = (["fp"], [tau]) if check is None else (["fp", "check", "id"], [tau, check])
     masks = plan_masks(fps, tau)
     spark = fps.sparkSession
     if not masks:
         return spark.createDataFrame([], "a long, b long")
-    rows = _under(fps, F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
+    rows = _under(fps, F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), columns)
     links = None
     while True:
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
         large = settled(sizes.select("mask", "value"))
         hot = large.count()
         own = rows.join(large, ["mask", "value"], "left_anti") if hot else rows
-        found = own.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(lambda it: _links(it, tau), "a long, b long")
+        found = own.repartition("mask", "value").sortWithinPartitions("mask", "value", *columns).mapInArrow(lambda it: _links(it, taus), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if not hot:
             return links
         finer = {_signed(m): _finer(m, tau) for m in (row["mask"] & ((1 << 64) - 1) for row in large.select("mask").distinct().collect())}  # one row per mask of the plan
         table = spark.createDataFrame([(m, [_signed(x) for x in f]) for m, f in finer.items()], "mask long, finer array<long>")
         again = rows.join(large, ["mask", "value"], "left_semi").join(F.broadcast(table), "mask")
-        rows = settled(_under(again.select("fp", "finer").distinct(), F.col("finer")).distinct())
+        rows = settled(_under(again.select(*columns, "finer").distinct(), F.col("finer"), columns).distinct())
 
 
 def _finer(mask: int, tau: int) -> list[int]:
@@ -270,34 +288,17 @@ def _finer(mask: int, tau: int) -> list[int]:
     return sorted({mask | sum(1 << b for b in hidden[i :: tau + 1]) for i in range(tau + 1) if hidden[i :: tau + 1]} or {(1 << 64) - 1})
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3, bucket: int = BUCKET, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: key, the kept columns, fp (long), component_id, the least key of the row's component, and
-    root, a fingerprint that names the component.
+def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """One row per input row: key, fp (long) and component_id, the least key of the row's component.
 
     Two rows are linked if their fingerprints differ in at most tau bits; components are closed under links. Equal
     fingerprints are handled once, so copies cost no pairs. Null keys do not count for component_id, which is null only
     where a component has no other. Empty and null texts have fingerprint 0.
     """
-    docs = settled(fingerprint_texts(df, [key, *keep], text, width))
+    docs = settled(fingerprint_texts(df, [key], text, width))
     least = docs.groupBy("fp").agg(F.min(key).alias("least"))
     roots = connected(find_links(least.select("fp"), tau, bucket))
     labelled = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "component_id", "root")
-    return docs.join(classes, "fp").select(key, *keep, "fp", "component_id", "root")
-
-
-def one_of_each(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3) -> DataFrame:
-    """The input's rows and columns, but of each component only the row of least key (null keys last).
-
-    Of rows with that key, the one of least row hash stays; repeated rows are one.
-    """
-    sides = [f"{c}_" for c in ("key", "hash")]
-    while set(sides) & set(df.columns):
-        sides = [f"{c}_" for c in sides]
-    hashed = df.withColumns({sides[0]: F.col(key), sides[1]: F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])})
-    found = near_duplicates(hashed.select(*sides, F.col(text)), sides[0], text, width, tau, keep=[sides[1]])
-    order = F.struct(F.col(sides[0]).isNull().alias("no_key"), F.col(sides[0]).alias("k"), F.col(sides[1]).alias("h"))
-    chosen = settled(found.groupBy("root", *sides).agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("m")).select("m.o.k", "m.o.h", "m.n"))
-    kept = hashed.join(chosen, hashed[sides[0]].eqNullSafe(chosen["k"]) & (hashed[sides[1]] == chosen["h"]), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
-    return kept.dropDuplicates() if chosen.filter("n > 1").head(1) else kept
+    classes = labelled.join(smallest, "root").select("fp", "component_id")
+    return docs.join(classes, "fp").select(key, "fp", "component_id")

@@ -9,8 +9,9 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from orthobox.llm import decontamination, kneser_ney, repeats, simhash
+from orthobox.llm import decontamination, kneser_ney, near_copies, repeats, simhash
 from orthobox.llm.components import connected
 
 
@@ -80,9 +81,38 @@ def test_near_duplicates_of_odd_rows(spark):
     df = frame(spark, rows)
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df, "doc_id", "text").collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (3, 3), (9, 8), (8, 8), (None, 3), (None, None), (7, 7)], key=str)
-    kept = simhash.one_of_each(df, "doc_id", "text").collect()
+    kept = near_copies.one_of_each(df.withColumn("key_", F.lit("clash")), "doc_id", "text").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, "a b c d"), (8, ""), (None, "alone here"), (7, "x " * 3000)], key=str)
     assert simhash.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
+    assert near_copies.one_of_each(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("size", [2000, 7])
+def test_one_of_each_is_brute_force(spark, size):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(25):
+        words = [r.choice(vocabulary) for _ in range(r.randint(20, 300))]
+        rows.append(" ".join(words))
+        for _ in range(r.randint(0, 12)):
+            edited = words[:]
+            for _ in range(r.randint(0, 8)):
+                edited[r.randrange(len(edited))] = r.choice(vocabulary)
+            rows.append(" ".join(edited))
+            words = edited if r.random() < 0.3 else words
+    ids = r.sample(range(10_000), len(rows))
+    rows = sorted(zip(ids, rows))
+    texts = [t.encode() for _, t in rows]
+    one, three = simhash.fingerprints(texts, 1, True), simhash.fingerprints(texts, 3)
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (int(one[i]) ^ int(one[j])).bit_count() <= near_copies.TAU and (int(three[i]) ^ int(three[j])).bit_count() <= near_copies.CHECK]
+    low, sets = classes(len(rows), links), [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    stay = []
+    for i in range(len(rows)):
+        if not any(low[i] == low[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    got = near_copies.one_of_each(frame(spark, rows), "doc_id", "text", size=size).collect()
+    assert sorted(map(tuple, got)) == [rows[i] for i in stay]
 
 
 def brute_repeats(rows, depth):
