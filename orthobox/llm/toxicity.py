@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orthobox.llm._rows import LOWER, Tables, map_texts, mixed, prefix_hashes, raw, span_hashes, text_bytes, words
+from orthobox.llm._rows import CHUNK_BYTES, LOWER, Tables, map_texts, mixed, pieces, prefix_hashes, raw, span_hashes, text_bytes, words
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
@@ -117,7 +117,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many toxic and other documents have each feature, and under feature 0 how many there are."""
         tables = Tables()
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch, 1, CHUNK_BYTES)):
             y = b.column(0).to_numpy(zero_copy_only=False)
             h, row = features(b.column(1), tables)
             order = np.lexsort((row, h))
@@ -140,7 +140,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch, 1, CHUNK_BYTES)):
             h, row = features(b.column(1), tables)
             if len(hashes) and len(h):
                 at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
