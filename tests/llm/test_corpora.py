@@ -115,6 +115,34 @@ def test_one_of_each_is_brute_force(spark, size):
     assert sorted(map(tuple, got)) == [rows[i] for i in stay]
 
 
+def brute_one_of_each(rows):
+    """The rows that stay of rows (id, text), by all pairs."""
+    sets, stay = {k: set(simhash.shingle_hashes(t.encode(), 5)) for k, t in rows}, []
+    for k, t in sorted(rows):
+        if not any(len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]) for j, _ in stay):
+            stay.append((k, t))
+    return stay
+
+
+@pytest.mark.parametrize("common, bucket", [(10, 20_000), (2, 20_000), (10, 3)])
+def test_one_of_each_misses_no_kind_of_edit(spark, monkeypatch, common, bucket):
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    r = random.Random(31)
+    say = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    line, texts = say(12), []
+    for n in (6, 10, 14, 40, 300, 300, 1500):
+        for _ in range(3):
+            words = say(n) + (line if r.random() < 0.5 else [])
+            m = len(words)
+            at = r.randrange(m)
+            texts += [words, words + say(max(1, m // 5)), words + say(max(1, m // 9)), say(m // 6) + words, words[: -(m // 6) or None], words[m // 7 :], words[:at] + say(m // 8 + 1) + words[at:]]
+    rows = [(k, " ".join(t)) for k, t in zip(r.sample(range(10_000), len(texts)), texts)]
+    stay = brute_one_of_each(rows)
+    assert len(stay) < len(rows) - 20
+    assert sorted(map(tuple, near_copies.one_of_each(frame(spark, rows), "doc_id", "text").collect())) == stay
+
+
 def brute_repeats(rows, depth):
     seen, out = set(), {}
     for k, t in sorted(rows):
