@@ -143,6 +143,16 @@ def test_one_of_each_misses_no_kind_of_edit(spark, monkeypatch, common, bucket):
     assert sorted(map(tuple, near_copies.one_of_each(frame(spark, rows), "doc_id", "text").collect())) == stay
 
 
+def test_one_of_each_takes_repeats_once(spark):
+    r = random.Random(32)
+    words = [f"w{r.randrange(5000)}" for _ in range(300)]
+    passage = words[100:160]
+    rows = [(k, " ".join(words[:160] + passage * k + words[160:])) for k in (0, 1, 5, 20, 60)]
+    stay = brute_one_of_each(rows)
+    assert stay == rows[:1]
+    assert list(map(tuple, near_copies.one_of_each(frame(spark, rows), "doc_id", "text").collect())) == stay
+
+
 def brute_repeats(rows, depth):
     seen, out = set(), {}
     for k, t in sorted(rows):
