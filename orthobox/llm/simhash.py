@@ -8,7 +8,7 @@ over estimated candidate counts, from statistics of all fingerprints.
 
 Fingerprints equal under a mask form a bucket. A bucket is searched by growing its components, so it yields fewer links
 than members and never all pairs. Buckets over BUCKET members are dealt out again under finer masks, of the hidden bits'
-own pigeonhole, until none is larger.
+own pigeonhole, until none is larger or a mask hides no more than tau bits, when all members are within tau.
 """
 
 from __future__ import annotations
@@ -268,7 +268,8 @@ def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET, check: int |
     rows = _under(fps, F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), columns)
     links = None
     while True:
-        sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
+        can_be_finer = F.lit(64) - F.bit_count("mask") > tau  # else members are within tau: they stay together, none left out
+        sizes = rows.filter(can_be_finer).groupBy("mask", "value").agg(F.count_distinct("fp").alias("n")).filter(F.col("n") > bucket)  # no mask parts rows of one fp
         large = settled(sizes.select("mask", "value"))
         hot = large.count()
         own = rows.join(large, ["mask", "value"], "left_anti") if hot else rows
@@ -283,9 +284,9 @@ def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET, check: int |
 
 
 def _finer(mask: int, tau: int) -> list[int]:
-    """Masks that also show one of tau + 1 shares of the hidden bits: within tau in those is equal in some share."""
+    """Masks that also show one of tau + 1 shares of the hidden bits, over tau of them: within tau in those is equal in some share."""
     hidden = [b for b in range(64) if not mask >> b & 1]
-    return sorted({mask | sum(1 << b for b in hidden[i :: tau + 1]) for i in range(tau + 1) if hidden[i :: tau + 1]} or {(1 << 64) - 1})
+    return sorted({mask | sum(1 << b for b in hidden[i :: tau + 1]) for i in range(tau + 1)})
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3, bucket: int = BUCKET) -> DataFrame:

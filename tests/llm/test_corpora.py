@@ -55,6 +55,25 @@ def test_links_join_all_within_tau(spark, bucket):
     assert len(set(zip(low, made))) == len(set(low)) == len(set(made))
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_links_with_check_of_one_fingerprint(spark, same):
+    r = random.Random(33)
+    fp, checks = r.getrandbits(64), [r.getrandbits(64) for _ in range(6)]
+    rows = set()
+    for c in checks:
+        for _ in range(12):
+            near = c
+            for b in r.sample(range(64), r.randint(0, 3)):
+                near ^= 1 << b
+            rows.add((fp if same else fp ^ r.choice([0, 1, 6, 7, 1 << 40]), near))
+    rows = sorted(rows)
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (rows[i][0] ^ rows[j][0]).bit_count() <= 3 and (rows[i][1] ^ rows[j][1]).bit_count() <= 8]
+    df = spark.createDataFrame([(simhash._signed(f), simhash._signed(c), i) for i, (f, c) in enumerate(rows)], "fp long, check long, id long")
+    roots = {x["node"]: x["root"] for x in connected(simhash.find_links(df, 3, bucket=4, check=8)).collect()}
+    low = classes(len(rows), links)
+    assert [roots.get(i, i) for i in range(len(rows))] == low
+
+
 def test_masks_cover():
     for parts, ts in (([range(16 * i, 16 * i + 16) for i in range(4)], [0, 0, 0, 0]), ([range(32), range(32, 64)], [1, 1]), ([range(21), range(21, 42), range(42, 64)], [1, 0, 0])):
         masks = [m for bits, t in zip(parts, ts) for m in simhash.masks_of(list(bits), t)]
