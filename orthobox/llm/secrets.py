@@ -3,15 +3,19 @@
 An entropy candidate is a run of 20 or more characters of [A-Za-z0-9+/_=-]. Its character class is the narrowest of hex,
 alnum and base64 that holds all of it. A window of WINDOW characters moves over it, its Shannon entropy kept by the counts
 that change at its two ends; windows at or over their class's threshold join into spans. Candidates that the allow-list
-matches in full give none, and neither do spans inside one of a fixed pattern.
+matches in full give none, and neither do spans that hold a placeholder, or lie inside one of a fixed pattern.
+
+All patterns take time in proportion to the text. Spans that start at one place are listed in the order of their kinds.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +28,15 @@ from orthobox.llm._rows import map_texts, raw
 WINDOW = 20
 # Entropy, in bits, from which a window of each class counts.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8}
-# Candidates that are no secrets: words and slugs of words, numbers and dates, UUIDs, markup rules, and
-# the placeholders of documentation.
+# Candidates that are no secrets: words of up to 19 letters and slugs of such words, numbers and dates, UUIDs.
 ALLOWED = (
-    r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*",
-    r"(?:[A-Z]?[a-z]+){1,4}",
+    r"[+/_=-]*+(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19})(?:[+/_=-]++(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}|[0-9]{1,4}))*[+/_=-]*+",
+    r"[A-Z]?[a-z]{1,18}(?:[A-Z][a-z]{1,18}){0,3}",
     r"[0-9+/_=-]+",
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-    r".*(?:EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH|placeholder|changeme).*",
 )
+# What the placeholders of documentation hold.
+PLACEHOLDERS = r"EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH|placeholder|changeme"
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -52,14 +56,14 @@ def entropy_windows(text: str, window: int = WINDOW) -> Iterator[float]:
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += cost[n + 1] - cost[n]
-        if i >= window:
+        if i >= window:  # the old one goes first, so no count passes the window's size
             old = text[i - window]
             n = counts[old]
             counts[old] = n - 1
             total += cost[n - 1] - cost[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += cost[n + 1] - cost[n]
         if i >= window - 1:
             yield math.log2(window) - total / window
 
@@ -90,7 +94,14 @@ def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def scan(texts: pa.Array, allowed: Sequence[str] = ALLOWED) -> list[list[tuple[int, int, str]]]:
+def _inside(base: list[tuple[int, int, int]]):
+    """Whether a span lies in one of the base spans (start, kind, end)."""
+    order = sorted((s, e) for s, _, e in base)
+    starts, upto = [s for s, _ in order], list(itertools.accumulate((e for _, e in order), max))
+    return lambda s, e: (i := bisect.bisect_right(starts, s)) > 0 and e <= upto[i - 1]
+
+
+def scan(texts: pa.Array, allowed: Sequence[str] = ALLOWED, placeholders: str = PLACEHOLDERS) -> list[list[tuple[int, int, str]]]:
     """For each text (UTF-8 bytes) its spans (start, position of the kind in KINDS, end), in code points and sorted."""
     data, offsets = raw(texts)
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
@@ -116,13 +127,16 @@ def scan(texts: pa.Array, allowed: Sequence[str] = ALLOWED) -> list[list[tuple[i
         found[i] += [(m.start(), 1, m.end()) for m in ACCESS.finditer(open_[i]) if len(m[0]) >= LEAST["access"]]
     for s, e, i in zip(*(x.tolist() for x in hexes)):
         found[i].append((point(i, s), 2, point(i, e)))
-    base = {i: list(found[i]) for i in loud}
+    inside: dict[int, Callable[[int, int], bool]] = {}
+    dummy = re.compile(placeholders).search if placeholders else lambda _: None
     allow = re.compile("|".join(f"(?:{a})" for a in allowed)).fullmatch if allowed else lambda _: None
     for s, e, i in zip(starts.tolist(), ends.tolist(), rows.tolist()):
         candidate = data[s:e].tobytes().decode()
         if not allow(candidate):
             at = point(i, s)
-            found[i] += [(at + a, 3, at + b) for a, b in entropy_spans(candidate) if not any(x <= at + a and at + b <= y for x, _, y in base[i])]
+            if i not in inside:
+                inside[i] = _inside(found[i])
+            found[i] += [(at + a, 3, at + b) for a, b in entropy_spans(candidate) if not dummy(candidate[a:b]) and not inside[i](at + a, at + b)]
     return [sorted(x) for x in found]
 
 
@@ -143,7 +157,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 def redact_rows(df: DataFrame, text: str, length: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The input's rows and columns, the text's spans replaced by the mark and the length column, if any, by the new text's
-    code points where there were spans. Null texts stay null."""
+    code points where there were spans. Null texts stay null, texts without spans stay as they are, columns may have any names."""
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     scanned = scan_texts(df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), list(names.values()), names[text], mark=mark)
     clean = F.when(F.col("spans") == "", F.col(names[text])).otherwise(F.col("clean_text"))
@@ -156,11 +170,10 @@ def redact_rows(df: DataFrame, text: str, length: str | None = None, mark: str =
 def scan_texts(df: DataFrame, keep: Sequence[str], text: str, allowed: Sequence[str] = ALLOWED, mark: str | None = None) -> DataFrame:
     """The kept columns with n_assign, n_access, n_hex, n_entropy, base_sha256, spans and, given a mark, clean_text.
 
-    Should a kept column have one of these names, rename it first.
-
     spans lists every span as kind:start:end, base_sha256 digests those of the three base kinds; offsets are code points,
-    ends exclusive. clean_text has the spans replaced by the mark; it stays null where the text is null. Null and empty texts
-    have no spans.
+    ends exclusive. clean_text has the spans replaced by the mark. Null texts count as empty; empty texts have no spans, an
+    empty table gives no rows, and repeated rows get the same result each. Where a kept column has one of the names above,
+    that of the result gets underscores at its end.
     """
     outputs = [T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex", "n_entropy")] + [T.StructField(c, T.StringType()) for c in ("base_sha256", "spans")]
     outputs += [T.StructField("clean_text", T.StringType())] * (mark is not None)
