@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes handled at once by a Python worker; longer single texts are handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch of texts, about.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: ASCII lower-casing, byte by byte.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -28,28 +31,50 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 def text_bytes(column: str):
     """The column's text as UTF-8 bytes, null as no bytes."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets a Python worker get texts in batches of about BATCH_BYTES, unless the session has a limit of its own."""
+    if spark.conf.get(_BATCH, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many underscores at its end as it takes to differ from the others whatever their case."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
 
 
 def map_texts(df: DataFrame, keep: Sequence[str], text: str, outputs: Sequence[T.StructField], make: Callable[[], Callable[[pa.BinaryArray], Sequence]], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The kept columns and, for each row, what make()(texts) returns: a sequence of values per output field.
 
     make runs once in each task. The text column reaches it as UTF-8 bytes without nulls, in pieces of about chunk_bytes,
-    so a worker holds one piece and not a whole Arrow batch's intermediate results. Other input columns are not read,
-    whatever they are called.
+    so a worker holds one piece and not a whole Arrow batch's intermediate results. A text column that is kept crosses to
+    the worker once. Other input columns are not read, whatever they are called. An output with the name of a kept column
+    gets underscores at its end.
     """
+    small_batches(df.sparkSession)
     kept = [df.schema[c] for c in keep]
-    schema = T.StructType([*kept, *outputs])
+    taken = [*keep]
+    named = []
+    for f in outputs:
+        named.append(T.StructField(free_name(f.name, taken), f.dataType))
+        taken.append(named[-1].name)
+    schema = T.StructType([*kept, *named])
     names = [f.name for f in schema.fields]
     n = len(kept)
     arrow = to_arrow_schema(schema)
-    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_bytes(text).alias("t"))
+    of = list(keep).index(text) if text in keep and isinstance(df.schema[text].dataType, T.StringType) else n
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[text_bytes(text).alias("t")] * (of == n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for piece in pieces(batch, n, chunk_bytes):
-                made = work(piece.column(n))
+            for piece in pieces(batch, of, chunk_bytes):
+                made = work(as_bytes(piece.column(of)))
                 columns = [piece.column(i).cast(arrow.field(i).type) for i in range(n)]
                 columns += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -57,6 +82,14 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, outputs: Sequence[T
     return source.mapInArrow(run, schema)
 
 
+def as_bytes(texts: pa.Array) -> pa.Array:
+    """A column of strings or bytes as bytes without nulls."""
+    if texts.null_count:
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    wide = pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type)
+    return texts.cast(pa.large_binary() if wide else pa.binary())
+
+
 def pieces(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about limit bytes together."""
     if not batch.num_rows:

@@ -4,9 +4,9 @@ The classifier is linear over the words of a text and their prefixes, each count
 prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]); where the second part falls below zero, a step
 raises it instead. Features are those whose share among the toxic examples differs most from that among unlabelled text.
 
-Training takes at most MAX_POSITIVE toxic training rows and MAX_UNLABELLED of all training rows as unlabelled text, those
-of least key hash; the class
-prior is the toxic share of all labelled training rows unless one is given. Scoring covers every row and whole texts.
+Training takes at most MAX_POSITIVE toxic training keys and MAX_UNLABELLED of all training keys as unlabelled text, those
+of least key hash, and one row, that of least text, of each; the class prior is the toxic share of all labelled training rows
+unless one is given. Scoring covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orthobox.llm._rows import CHUNK_BYTES, LOWER, Tables, map_texts, mixed, pieces, prefix_hashes, raw, span_hashes, text_bytes, words
+from orthobox.llm._rows import CHUNK_BYTES, LOWER, Tables, map_texts, mixed, pieces, prefix_hashes, raw, small_batches, span_hashes, text_bytes, words
+from orthobox.llm._shared import settled
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
@@ -98,24 +99,33 @@ def _sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, training: Column, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """A model from the rows for which training holds, in both tables. Without toxic training rows it scores all texts 0.
+    """A model from the rows for which training holds, in both tables.
 
-    Rows with a null key or label have no label. A key with several labels is toxic if one of them says so.
+    Without training documents that are marked toxic it scores all texts near 0: so for empty tables and for labels of absent
+    documents. Rows with a null key or label have no label. A key with several labels is toxic if one of them says so; of rows
+    with one key one is taken. Ties in the choice of features go to the lesser hash. Null texts count as empty.
     """
+    small_batches(documents.sparkSession)
     marked = labels.filter(training & F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(key).agg(F.max(F.col(toxic)).alias("y"))
     share = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), -60.0)
     if not share[1]:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -60.0)
+        return none
     if prior is None:
         prior = min(max(share[1] / share[0], 1e-4), 0.9)
-    keys = documents.filter(training & F.col(key).isNotNull()).select(F.col(key))
+    own = documents.filter(training & F.col(key).isNotNull())
+    keys = own.select(F.col(key))
     toxic_keys = marked.filter("y = 1").select(key)
-    # At most max_positive + max_unlabelled keys: a bound that does not grow.
     chosen = _sample(keys.join(toxic_keys, key, "left_semi").distinct(), key, max_positive).withColumn("p", F.lit(1)).unionByName(_sample(keys.distinct(), key, max_unlabelled).withColumn("p", F.lit(0)))
-    rows = documents.select(F.col(key).alias("k"), text_bytes(text).alias("t")).join(F.broadcast(chosen.select(F.col(key).alias("k"), "p")), "k").select("p", "t")
+    chosen = settled(chosen.select(F.col(key).alias("k"), "p"))  # at most max_positive + max_unlabelled rows
+    rows = own.select(F.col(key).alias("k"), text_bytes(text).alias("t")).join(F.broadcast(chosen), "k")
+    rows = settled(rows.groupBy("k", "p").agg(F.min("t").alias("t")).select("p", "t"))
+    n_p, n_u = (rows.filter(F.col("p") == x).count() for x in (1, 0))
+    if not n_p:
+        return none
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many toxic and other documents have each feature, and under feature 0 how many there are."""
+        """How many toxic and other documents have each feature."""
         tables = Tables()
         for b in (piece for batch in batches for piece in pieces(batch, 1, CHUNK_BYTES)):
             y = b.column(0).to_numpy(zero_copy_only=False)
@@ -128,14 +138,13 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
             kinds, at = np.unique(h, return_inverse=True)
             pos = np.bincount(at, weights=y_of, minlength=len(kinds)).astype(np.int64)
             every = np.bincount(at, minlength=len(kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(kinds.view(np.int64), 0), pa.int64()), pa.array(np.append(pos, y.sum()), pa.int64()), pa.array(np.append(every - pos, len(y) - y.sum()), pa.int64())], names=["h", "p", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64), pa.int64()), pa.array(pos, pa.int64()), pa.array(every - pos, pa.int64())], names=["h", "p", "u"])
 
     counted = rows.mapInArrow(count, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    n_p, n_u = counted.filter("h = 0").select("p", "u").first()
     p, u = F.col("p") / n_p, F.col("u") / max(n_u, 1)
     mean = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (p - u) / F.sqrt(mean * (1 - mean) * F.lit(1 / n_p + 1 / max(n_u, 1)) + F.lit(1e-12))
-    picked = counted.filter(f"h <> 0 and p + u >= {LEAST_DOCUMENTS}").withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "h").limit(MAX_FEATURES).collect()
+    picked = counted.filter(f"p + u >= {LEAST_DOCUMENTS}").withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "h").limit(MAX_FEATURES).collect()
     hashes = np.sort(np.array([r["h"] for r in picked], dtype=np.int64).view(np.uint64))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +160,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
                 found = [np.zeros(0, np.int64)] * b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([x.astype("<u2").tobytes() for x in found], pa.binary())], names=["p", "at"])
 
-    got = rows.mapInArrow(held, "p int, at binary").collect()  # bounded rows of at most MAX_FEATURES indices
+    got = rows.mapInArrow(held, "p int, at binary").collect()  # a row per chosen one, of at most MAX_FEATURES indices
     x = np.zeros((len(got), len(hashes)), dtype=np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(bytes(r["at"]), "<u2")] = 1
@@ -161,7 +170,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
 
 
 def score_texts(df: DataFrame, keep: Sequence[str], text: str, model: Model, name: str = "score") -> DataFrame:
-    """The kept columns and, under the given name, the score, 0 to 1, of every whole text; null texts count as empty."""
+    """The kept columns and, under the given name, the score, 0 to 1, of every whole text; null texts count as empty.
+
+    Repeated rows get the same score each, an empty table gives none. If a kept column has the name, underscores are added.
+    """
 
     def make():
         tables = Tables()
