@@ -2,14 +2,15 @@
 
 The share is the same for all documents, so a sketch's size follows its document's. The sketch of two texts together is
 the union of their sketches, and the share of one sketch found in another estimates containment even where one document
-is a thousand times the other's size. A text none of whose hashes is below the share keeps its least one.
+is a thousand times the other's size. A text of up to WHOLE different shingles keeps them all and is compared in full with
+other such texts; beside a larger text only its hashes below the share count, and where it has none containment is unknown.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-
 import hashlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orthobox.llm._rows import CHUNK_BYTES, LOWER, Tables, map_texts, mixed, pieces, prefix_hashes, raw, span_hashes, text_bytes, words
+from orthobox.llm._rows import CHUNK_BYTES, LOWER, Tables, map_texts, mixed, pieces, prefix_hashes, raw, small_batches, span_hashes, text_bytes, words
 
 WIDTH = 5
 SHARE = 1 / 4
+#: Different shingles up to which a text keeps the hashes of all.
+WHOLE = 64
 
 
 def shingles(texts: pa.Array, width: int, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -46,63 +49,106 @@ def shingles(texts: pa.Array, width: int, tables: Tables) -> tuple[np.ndarray, n
     return out, row[at]
 
 
-def sketches(texts: pa.Array, width: int, share: float, tables: Tables) -> list[np.ndarray]:
-    """The sketch of each text: its kept hashes, sorted, without repeats."""
+@dataclass(frozen=True)
+class Sketch:
+    """The hashes that a text keeps, sorted and without repeats; whole: whether they are all it has."""
+
+    hashes: np.ndarray
+    whole: bool
+
+    def under(self, limit: np.uint64) -> np.ndarray:
+        return self.hashes[: np.searchsorted(self.hashes, limit)]
+
+
+def limit_of(share: float) -> np.uint64:
+    """Kept hashes are below this."""
+    return np.uint64(min((1 << 64) - 1, int(share * 2.0**64)))
+
+
+def _sketch(hashes: np.ndarray, share: float) -> Sketch:
+    """The sketch of a text, or of several together, that has these different hashes."""
+    return Sketch(hashes, True) if len(hashes) <= WHOLE else Sketch(hashes[: np.searchsorted(hashes, limit_of(share))], False)
+
+
+def sketches(texts: pa.Array, width: int, share: float, tables: Tables) -> list[Sketch]:
+    """The sketch of each text."""
     h, row = shingles(texts, width, tables)
     n = len(texts)
-    limit = np.uint64(min((1 << 64) - 1, int(share * 2.0**64)))
-    kept = h < limit
-    bare = np.bincount(row[kept], minlength=n) == 0
-    own = bare[row] if len(row) else np.zeros(0, bool)
-    if own.any():
-        least = np.full(n, np.uint64((1 << 64) - 1))
-        np.minimum.at(least, row[own], h[own])
-        kept |= own & (h == least[row])
-    h, row = h[kept], row[kept]
+    low = h < limit_of(share)
+    under, of = _different(h[low], row[low])
+    many = np.bincount(of, minlength=n) > WHOLE  # these have more shingles than that; of the others all are looked at
+    rest, of_rest = _different(h[~many[row]], row[~many[row]])
+    whole = np.split(rest, np.searchsorted(of_rest, np.arange(1, n)))
+    return [_sketch(x, share) if not m else Sketch(y, False) for m, x, y in zip(many.tolist(), whole, np.split(under, np.searchsorted(of, np.arange(1, n))))]
+
+
+def _different(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes in order and without repeats."""
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[fresh], row[fresh]
-    return np.split(h, np.searchsorted(row, np.arange(1, n)))
+    return h[fresh], row[fresh]
+
+
+def _both(a: Sketch, b: Sketch, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each under the lower of both limits."""
+    limit = limit_of(share)
+    return (a.hashes, b.hashes) if a.whole and b.whole else (a.under(limit), b.under(limit))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many hashes two sketches share."""
+    """How many hashes two sorted arrays share."""
     return len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard estimate: shared hashes of all; two empty sketches are alike."""
-    both = common(a, b)
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def likeness(a: Sketch, b: Sketch, share: float = SHARE) -> float:
+    """The Jaccard estimate: shared hashes of all under the lower limit. Two texts without shingles are alike; 0 where only
+    one has any, and where neither has a hash under the limit."""
+    x, y = _both(a, b, share)
+    both = common(x, y)
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else float(not len(a.hashes) and not len(b.hashes))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of a's text that is in b's, as estimated by the share of its hashes; an empty a is contained."""
-    return common(a, b) / len(a) if len(a) else 1.0
+def containment(a: Sketch, b: Sketch, share: float = SHARE) -> float | None:
+    """The share of a's shingles that b has, as estimated by the share of its hashes under the lower limit; an empty a is
+    contained, and where a has hashes but none under that limit nothing is known."""
+    x, y = _both(a, b, share)
+    if not len(x):
+        return None if len(a.hashes) else 1.0
+    return common(x, y) / len(x)
 
 
-def merge(a: np.ndarray, b: np.ndarray, share: float = SHARE) -> np.ndarray:
-    """The sketch of both texts' shingles together."""
-    every = np.union1d(a, b)
-    low = every[every < np.uint64(min((1 << 64) - 1, int(share * 2.0**64)))]
-    return low if len(low) else every[:1]
+def merge(a: Sketch, b: Sketch, share: float = SHARE) -> Sketch:
+    """The sketch of both texts' shingles together: the one that they would have as one set."""
+    if a.whole and b.whole:
+        return _sketch(np.union1d(a.hashes, b.hashes), share)
+    limit = limit_of(share)
+    return Sketch(np.union1d(a.under(limit), b.under(limit)), False)
 
 
-def hexed(a: np.ndarray) -> str:
-    """A sketch as text: its hashes in order, 16 hex digits each."""
-    return a.astype(">u8").tobytes().hex()
+def hexed(a: Sketch) -> str:
+    """A sketch as text: + if it is whole, else -, and its hashes in order, 16 hex digits each."""
+    return ("+" if a.whole else "-") + a.hashes.astype(">u8").tobytes().hex()
 
 
 def sketch_texts(df: DataFrame, keep: Sequence[str], text: str, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """The kept columns and the sketch (array of long, sorted as unsigned); null and wordless texts have an empty one."""
+    """The kept columns, sketch (array of long, sorted as unsigned) and whole (whether it holds all of the text's hashes).
+
+    Null and wordless texts have an empty, whole sketch; equal texts have equal ones; an empty table gives no rows. Where a kept
+    column has one of the names, that of the result gets underscores at its end.
+    """
 
     def make():
         tables = Tables()
-        return lambda texts: [[x.view(np.int64) for x in sketches(texts, width, share, tables)]]
 
-    return map_texts(df, keep, text, [T.StructField("sketch", T.ArrayType(T.LongType()))], make)
+        def work(texts: pa.Array):
+            made = sketches(texts, width, share, tables)
+            return [[x.hashes.view(np.int64) for x in made], [x.whole for x in made]]
+
+        return work
+
+    return map_texts(df, keep, text, [T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("whole", T.BooleanType())], make)
 
 
 def deal_with_next(df: DataFrame, key: str, text: str, groups: int) -> DataFrame:
@@ -140,10 +186,13 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(df: DataFrame, key: str, text: str, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """Each row's sketch beside those of its edited text and of the next row, by descending key (after the last, the first).
 
+    Other columns, whatever their names, are dropped; no rows give no rows.
+
     Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint (sketches in hex), near_edited, near_next
-    (Jaccard estimates) and in_edited (containment of the text in its edited form). Null texts count as empty, null keys
+    (Jaccard estimates) and in_edited (containment of the text in its edited form, null where it is unknown). Null texts count as empty, null keys
     come last, rows of one key follow each other in their texts' hash order; a single row is its own next.
     """
+    small_batches(df.sparkSession)
     parts = max(2, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = deal_with_next(df, key, text, 4 * parts).withColumn("h", F.xxhash64("t"))
     order = [F.asc("group"), F.asc("tail"), F.desc_nulls_last("key"), F.asc("h")]
@@ -170,7 +219,7 @@ def compare_with_next(df: DataFrame, key: str, text: str, width: int = WIDTH, sh
                 yield pa.RecordBatch.from_arrays([
                     pa.array([a[2] for a, _ in pairs], arrow.field(0).type), pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in new]), pa.array([hexed(a[4]) for a, _ in pairs]), pa.array([hexed(x) for x in made]),
-                    pa.array([likeness(a[4], x) for (a, _), x in zip(pairs, made)], pa.float64()), pa.array([likeness(a[4], b[4]) for a, b in pairs], pa.float64()), pa.array([containment(a[4], x) for (a, _), x in zip(pairs, made)], pa.float64()),
+                    pa.array([likeness(a[4], x, share) for (a, _), x in zip(pairs, made)], pa.float64()), pa.array([likeness(a[4], b[4], share) for a, b in pairs], pa.float64()), pa.array([containment(a[4], x, share) for (a, _), x in zip(pairs, made)], pa.float64()),
                 ], names=arrow.names)
 
     return dealt.mapInArrow(run, schema)

@@ -89,7 +89,26 @@ def test_entropy():
     assert secrets.scan(pa.array([b"g7" * 20], pa.binary()))[0] == []
 
 
+def test_candidates_of_any_kind_take_little_time():
+    import time
+
+    r = random.Random(3)
+    texts = ["0" * 21 + "a1f", "a" * 21, "A" * 500 + "1", "x" * 10_000 + "1", "AbcDef" * 2000 + "1", "ab-cd_" * 2000 + "1a1", "-" * 10_000 + "1a", "a" + "-" * 10_000 + "1a1", "1" * 10_000 + "a", "=" * 10_000]
+    texts += ["".join(r.choice("abcdefgh") for _ in range(10_000)) + "1", "".join(r.choice("abcXYZ019+/") for _ in range(1 << 20)), "password = " * 20_000, "token" + " " * 100_000 + "x=1"]
+    start = time.process_time()
+    found = secrets.scan(pa.array([t.encode() for t in texts], pa.binary()))
+    assert time.process_time() - start < 10 and found[0] == [(0, 2, 24)] and not found[1] and not found[2]
+
+
+def test_letters_alone_are_judged_by_entropy():
+    word, name = "qzjxkvbwmfhpgydtrcnlsae", "Kraftfahrzeughaftpflichtversicherung"
+    placeholder = "/docs/example/see/the/tests/and/the/tests/of/tests/Zx9Qp2Lm8Kd4Vt7Rw3Yb"
+    found = secrets.scan(pa.array([x.encode() for x in (word, name, "AnExampleWordList", placeholder)], pa.binary()))
+    assert found[0] == [(0, 3, 23)] and not found[2] and found[3]
+
+
 def test_secret_rows(spark, odd):
+    assert secrets.scan_texts(odd, ["doc_id", "spans"], "text").columns[-1] == "spans_" and secrets.scan_texts(odd.limit(0), ["doc_id"], "text").count() == 0
     rows = secrets.scan_texts(odd, ["doc_id"], "text").collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
     docs = spark.createDataFrame([(1, "é token=abcdef12 b", 99, "s"), (2, None, None, "s"), (3, "clean", 5, "s")], "doc_id long, text string, n_chars long, spans string")
@@ -115,17 +134,65 @@ def test_sketches_estimate():
             both = len(shingled[i] & shingled[j])
             assert sketch.likeness(made[i], made[j]) == pytest.approx(both / len(shingled[i] | shingled[j]), abs=0.08)
     assert sketch.containment(made[5], made[2]) > 0.8 and sketch.containment(made[2], made[5]) < 0.2
-    assert len(made[6]) == 0 and len(made[7]) == 1 and made[7].tolist() == made[8].tolist()
+    assert len(made[6].hashes) == 0 and len(made[7].hashes) == 1 and made[7].hashes.tolist() == made[8].hashes.tolist()
     assert sketch.likeness(made[6], made[6]) == 1 and sketch.likeness(made[6], made[0]) == 0
-    assert sketch.merge(made[0], made[1], 0.25).tolist() == np.union1d(made[0], made[1]).tolist()
+    for i in range(9):  # a merged sketch is that of the shingles together
+        for j in range(9):
+            every = np.unique(np.concatenate([sketch.shingles(pa.array([texts[k].encode()], pa.binary()), 5, Tables())[0] for k in (i, j)]))
+            together, got = sketch._sketch(every, 0.25), sketch.merge(made[i], made[j], 0.25)
+            assert got.whole == together.whole and got.hashes.tolist() == together.hashes.tolist()
+
+
+@pytest.mark.parametrize("words", [5, 7, 10, 20, 60, 100])
+def test_containment_of_contained_texts(words):
+    from orthobox.llm._rows import Tables
+
+    r, known = random.Random(words), 0
+    for _ in range(100):
+        long = [f"w{r.randrange(4000)}" for _ in range(3000)]
+        at = r.randrange(3000 - words)
+        a, b = sketch.sketches(pa.array([" ".join(x).encode() for x in (long[at : at + words], long)], pa.binary()), 5, 0.25, Tables())
+        share = sketch.containment(a, b)
+        assert share in (None, 1.0) and sketch.likeness(a, a) == 1 and sketch.containment(a, a) == 1
+        known += share == 1.0
+    assert known >= 100 * (1 - 0.75 ** (words - 4)) - 15
 
 
 def test_sketches_do_not_depend_on_the_batch():
     from orthobox.llm._rows import Tables
 
-    texts = [b"a b c d e f g", b"", b"x", b"  a b  c d e f g "]
-    alone = [sketch.sketches(pa.array([t], pa.binary()), 5, 0.25, Tables())[0].tolist() for t in texts]
-    assert [x.tolist() for x in sketch.sketches(pa.array(texts, pa.binary()), 5, 0.25, Tables())] == alone and alone[0] == alone[3]
+    texts = [b"a b c d e f g", b"", b"x", b"  a b  c d e f g ", b" ".join(b"%d" % (i % 70) for i in range(3000)), b" ".join(b"%d" % (i % 50) for i in range(3000)), b" ".join(b"%d" % i for i in range(300))]
+    alone = [sketch.sketches(pa.array([t], pa.binary()), 5, 0.25, Tables())[0] for t in texts]
+    for x, y, t in zip(sketch.sketches(pa.array(texts, pa.binary()), 5, 0.25, Tables()), alone, texts):
+        every = np.unique(sketch.shingles(pa.array([t], pa.binary()), 5, Tables())[0])
+        assert x.whole == y.whole == (len(every) <= sketch.WHOLE) and x.hashes.tolist() == y.hashes.tolist() == (every if x.whole else every[every < sketch.limit_of(0.25)]).tolist()
+    assert alone[0].hashes.tolist() == alone[3].hashes.tolist()
+
+
+def test_next_is_brute_force(spark):
+    from orthobox.llm._rows import Tables
+
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(30 if i % 3 else 3000)}" for _ in range(r.choice([0, 1, 4, 30, 200, 900]))) for i in range(60)]
+    rows = [(i, t if i % 17 else None) for i, t in enumerate(texts)] + [(60, texts[59]), (61, "\u00e9 " * 100_000)]
+    got = {x["doc_id"]: x for x in sketch.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text").collect()}
+
+    def sketched(t):
+        every = set(sketch.shingles(pa.array([t.encode()], pa.binary()), 5, Tables())[0].tolist())
+        return every, len(every) <= 64, {x for x in every if x < 1 << 62}
+
+    def compared(a, b):
+        x, y = (a[0], b[0]) if a[1] and b[1] else (a[2], b[2])
+        like = len(x & y) / len(x | y) if x | y else float(not a[0] and not b[0])
+        return like, (len(x & y) / len(x) if x else None if a[0] else 1.0)
+
+    order = [(i, t or "") for i, t in rows[::-1]]
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1]):
+        m = len(t) // 3
+        new = t[: len(t) - m] + following[:m]
+        own, changed, beside = sketched(t), sketched(new), sketched(following)
+        want = (len(t), hashlib.sha256(new.encode()).hexdigest(), *["-+"[s[1]] + "".join(f"{x:016x}" for x in sorted(s[0] if s[1] else s[2])) for s in (own, changed)], *compared(own, changed)[:1], *compared(own, beside)[:1], compared(own, changed)[1])
+        assert tuple(got[i][c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited")) == want
 
 
 @pytest.mark.parametrize("parts", [1, 7])
