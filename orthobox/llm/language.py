@@ -1,13 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained by backpropagation through time.
 
 A text is cut into spans of SPAN bytes; the recurrence runs over each span in both directions and gives every position its
-own distribution over the languages. A text's distribution is the mean over all its positions. Training takes at most
-PER_LANGUAGE documents of each language, those of least key hash, and SPANS spans from each, spread over the whole text.
+own distribution over the languages. A text's distribution is the mean over all its positions. Training draws spans from the
+whole texts of at most PER_LANGUAGE keys of each language, those of least key hash; every language is learned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from orthobox.llm._rows import map_texts, raw, text_bytes
+from orthobox.llm._shared import settled
 
 SPAN = 64
 HIDDEN = 8
 PER_LANGUAGE = 400
-SPANS = 4
-MAX_LANGUAGES = 64
+#: Chosen keys and languages are broadcast up to so many rows.
+BROADCAST_ROWS = 300_000
 PAD = 256
 UNKNOWN = "und"
 
@@ -170,43 +172,43 @@ def predict(net: Network, texts: pa.Array, rows_at_once: int = 2048) -> tuple[li
     return [net.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), letter.tolist())], np.where(letter, np.clip(score, 0, 1), 0.0)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def fit(df: DataFrame, key: str, text: str, lang: str, training: Column, per_language: int = PER_LANGUAGE) -> Network:
     """A network from the rows for which training holds and language, key and text are not null.
 
-    The MAX_LANGUAGES commonest languages are learned. Without such rows the network knows none and all texts are UNKNOWN.
+    All languages of these rows are learned, each from the whole texts of at most per_language keys (of rows with one key and
+    language one is taken, that of least text), which is what reaches the driver. Without such rows, as for an empty table, the
+    network knows none and all texts are UNKNOWN.
     """
-    rows = df.filter(training & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    known = sorted(r[lang] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect())
-    if not known:
+    spark = df.sparkSession
+    rows = df.filter(training & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), text_bytes(text).alias("t"))
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    if not counts:
         return Network.fresh([])
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    picks = None
-    for name in known:  # one top-k each: no task sees all rows of a language
-        own = rows.filter(F.col(lang) == name).select(F.col(key).alias("k"), F.col(lang).alias("l")).orderBy(order, "k").limit(per_language)
-        picks = own if picks is None else picks.unionByName(own)
-    chosen = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"), text_bytes(text).alias("t")).join(F.broadcast(picks.distinct()), ["k", "l"]).select("k", "l", "t")  # at most MAX_LANGUAGES * per_language keys
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, names, out = [], [], []
-            for k, l, t in zip(b.column(0).cast(pa.string()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                pieces = -(-len(t) // SPAN)
-                for i in sorted({j * pieces // SPANS for j in range(SPANS)}) if pieces else []:
-                    keys.append(f"{k}/{i}")
-                    names.append(l)
-                    out.append(t[i * SPAN : (i + 1) * SPAN])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(names, pa.string()), pa.array(out, pa.binary())], names=["k", "l", "s"])
-
-    got = sorted((r["l"], r["k"], bytes(r["s"])) for r in chosen.mapInArrow(cut, "k string, l string, s binary").collect())
-    codes = np.full((len(got), SPAN), PAD, dtype=np.int16)
-    for i, (_, _, s) in enumerate(got):
-        codes[i, : len(s)] = np.frombuffer(s, np.uint8)
-    names = sorted({l for l, _, _ in got})
-    return train(codes, np.array([names.index(l) for l, _, _ in got], dtype=np.int64), names) if got else Network.fresh([])
+    # Of each language about twice the wanted keys pass by their hash, all if it has few, so no task sorts a large one.
+    order = F.xxhash64(F.col("k").cast("string"), F.lit("sample"))
+    share = [(r["l"], min(1.0, (2 * per_language + 100) / r["n"])) for r in counts]
+    under = spark.createDataFrame([(l, min((1 << 63) - 1, int((s - 0.5) * 2.0**64))) for l, s in share], T.StructType([T.StructField("l", rows.schema["l"].dataType), T.StructField("under", T.LongType())]))
+    passed = rows.select("k", "l", order.alias("h")).join(_few(under, len(counts)), "l").filter("h <= under").select("k", "l", "h").distinct()
+    picked = settled(passed.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).filter(F.col("place") <= per_language).select("k", "l"))
+    texts = rows.join(_few(picked, len(counts) * per_language), ["k", "l"]).groupBy("k", "l").agg(F.min("t").alias("t"))
+    got = sorted((str(r["l"]), str(r["k"]), bytes(r["t"])) for r in texts.collect())  # at most per_language rows a language
+    codes, row = spans(pa.array([t for _, _, t in got], pa.binary()))
+    of = [l for l, _, _ in got]
+    names = sorted({of[i] for i in np.unique(row).tolist()})
+    number = {l: i for i, l in enumerate(names)}
+    return train(codes, np.array([number.get(l, -1) for l in of], dtype=np.int64)[row], names) if names else Network.fresh([])
 
 
 def label_texts(df: DataFrame, keep: Sequence[str], text: str, net: Network) -> DataFrame:
-    """The kept columns with lang_pred and score of every whole text; null, empty and letterless texts are UNKNOWN, 0."""
+    """The kept columns with lang_pred and score of every whole text; null, empty and letterless texts are UNKNOWN, 0.
+
+    Of languages with equal probability the first by name is taken; repeated rows get the same result each, and an empty table
+    gives no rows. Where a kept column has one of the names, that of the result gets underscores at its end.
+    """
 
     def make() -> Callable:
         return lambda texts: predict(net, texts)

@@ -51,6 +51,8 @@ def test_language_of_odd_rows(spark):
     net = language.fit(df, "doc_id", "text", "lang", F.lit(True))
     got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in language.label_texts(df, ["doc_id"], "text", net).collect()), key=str)
     assert [x for x in got if x[1] == "und"] == sorted([(2, "und", 0.0), (None, "und", 0.0), (3, "und", 0.0), (3, "und", 0.0)], key=str) and len(got) == 5
+    many = spark.createDataFrame([(i, f"text {'abcdefgh'[i % 8] * 9} {i % 70}", f"l{i % 70:02}") for i in range(700)] + [(1, "text", "l01")] * 300, "doc_id long, text string, lang string")
+    assert len(language.fit(many, "doc_id", "text", "lang", F.lit(True), per_language=5).languages) == 70
     empty = language.fit(df.limit(0), "doc_id", "text", "lang", F.lit(True))
     assert {r["lang_pred"] for r in language.label_texts(df, ["doc_id"], "text", empty).collect()} == {"und"}
 
@@ -76,6 +78,12 @@ def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "vile scum", "x"), (2, None, "x"), (None, "", "x"), (3, "fine words", "x"), (3, "fine words", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), (3, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, "doc_id", "text", "toxic", F.lit(True))
+    assert toxicity.score_texts(docs, ["doc_id", "score"], "text", model).columns == ["doc_id", "score", "score_"]
+    absent = spark.createDataFrame([(9, 1), (1, 0)], "doc_id long, toxic int")
+    for given, marked in ((docs.limit(0), labels), (docs, absent), (docs.limit(0), labels.limit(0))):
+        assert toxicity.score_texts(docs, ["doc_id"], "text", toxicity.fit(given, marked, "doc_id", "text", "toxic", F.lit(True))).filter("score < 0.5").count() == 5
+    many = docs.unionByName(docs.filter("doc_id = 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("i"))
+    assert toxicity.fit(many, labels, "doc_id", "text", "toxic", F.lit(True), max_positive=5, max_unlabelled=5).bias == model.bias  # one row a key
     assert toxicity.score_texts(docs, ["doc_id"], "text", model).filter("score between 0 and 1").count() == 5
     for none in (toxicity.fit(docs, labels.limit(0), "doc_id", "text", "toxic", F.lit(True)), toxicity.fit(docs, labels.filter("toxic = 0"), "doc_id", "text", "toxic", F.lit(True))):
         assert none.score(pa.array([b"vile scum"], pa.binary()), Tables())[0] < 0.5
