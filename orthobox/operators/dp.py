@@ -231,8 +231,11 @@ def solve_groups(df: DataFrame, capacity: int, group: str = "node", key: str = "
 
     rows = F.struct(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in names]).alias("b"))
     size = F.count(F.lit(1)).cast("int")
+    # Counted before any group is gathered, with sums by task.
+    large = df.groupBy(group).agg(size.alias("n")).filter(F.col("n") > MOST).head(1)
+    if large:
+        raise ValueError(f"a group of over {MOST} boxes: {large[0][group]}")
     listed = df.groupBy(group).agg(size.alias("n"), F.collect_list(rows).alias("rows"))
-    listed = listed.filter(F.when(F.col("n") > MOST, F.raise_error(F.lit(f"a group of over {MOST} boxes")).cast("boolean")).otherwise(F.lit(True)))
     by_key = listed.withColumn("rows", F.array_sort("rows", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
     return by_key.select(group, "n", F.transform("rows", lambda r: r["k"]).alias("keys"), F.transform("rows", lambda r: r["b"]).alias("boxes")).mapInPandas(solve, schema)
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthobox.functions.boxes import Box, axes, mbr
-from orthobox.shared import settled, tile, with_rank
+from orthobox.shared import few, settled, tile, with_rank
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def _placed(df: DataFrame, centre: Column, key: str) -> DataFrame:
     """The rows with n, their node's size, and place, from 0, in their node's order of the centre."""
     ranked = with_rank(df.withColumn("_centre", centre), [F.col("node_id"), F.col("_centre"), F.col(key)], "_rank")
     first = ranked.groupBy("node_id").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("n"))
-    return ranked.join(first, "node_id").withColumn("place", F.col("_rank") - F.col("_first")).drop("_rank", "_first", "_centre")
+    return ranked.join(few(first), "node_id").withColumn("place", F.col("_rank") - F.col("_first")).drop("_rank", "_first", "_centre")
 
 
 def build_str(df: DataFrame, capacity: int, fanout: int | None = None, levels: int | None = None, key: str = "id") -> SpatialIndex:
@@ -90,14 +91,13 @@ def build_top_down(df: DataFrame, capacity: int, k: int, label: Callable[[DataFr
     if k < 2:
         raise ValueError("k and capacity: 2 or more")
     d = axes(df)
-    active, finished, level = df.withColumn("node_id", F.lit("r")), None, 0
+    active, finished, level = df.withColumn("node_id", F.lit("r")), [], 0
     while True:
-        sized = active.join(_sizes(active), "node_id")
-        small = sized.filter(F.col("n") <= capacity).drop("n")
-        finished = small if finished is None else finished.unionByName(small)
+        sized = active.join(few(_sizes(active)), "node_id")
+        finished.append(settled(sized.filter(F.col("n") <= capacity).drop("n")))  # written once, whatever comes after
         active = settled(sized.filter(F.col("n") > capacity).drop("n"))
         if not active.head(1):
-            return from_paths(settled(finished))
+            return from_paths(reduce(DataFrame.unionByName, finished))
         placed = _placed(active, Box.of(d).centroid()[level % d], key)
         run = F.floor(F.col("place") / F.ceil(F.col("n") / k)).cast("int")
         if label is None:
@@ -108,7 +108,6 @@ def build_top_down(df: DataFrame, capacity: int, k: int, label: Callable[[DataFr
             both = placed.join(named, (F.col("node_id") == F.col("_n")) & (F.col(key) == F.col("_k"))).drop("_n", "_k").join(several, F.col("node_id") == F.col("_n")).drop("_n")
             parted = both.withColumn("label", F.when(F.col("_several"), F.col("_l")).otherwise(run)).drop("_l", "_several")
         active = settled(parted.withColumn("node_id", F.concat("node_id", F.lit("."), F.col("label").cast("string"))).drop("label", "place", "n"))
-        finished = settled(finished)
         level += 1
 
 

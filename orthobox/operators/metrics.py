@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthobox.functions.boxes import Box, axes
+from orthobox.shared import few
 
 
 def sibling_overlap(nodes: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def node_accesses(queries: DataFrame, nodes: DataFrame, qid: str = "qid") -> Dat
     tested = queries.select(F.col(qid).alias("_q"), *q.named("q"))
     if depth is None:
         return tested.select(F.col("_q").alias(qid), F.lit(0).cast("long").alias("nodes_tested"), F.lit(0).cast("long").alias("nodes_opened"))
-    slim = nodes.select("node_id", "parent_id", *n.named())
+    slim = few(nodes.select("node_id", "parent_id", *n.named()))  # else one parent id would hold all queries at the root
     reached = tested.join(F.broadcast(slim.filter("parent_id is null").drop("parent_id")))  # one row
     every = None
     for level in range(depth + 1):
@@ -52,6 +53,27 @@ def node_accesses(queries: DataFrame, nodes: DataFrame, qid: str = "qid") -> Dat
     return every.groupBy(F.col("_q").alias(qid)).agg(F.count(F.lit(1)).alias("nodes_tested"), F.sum(F.col("hit").cast("long")).alias("nodes_opened"))
 
 
+def knn_nodes(points: DataFrame, neighbours: DataFrame, nodes: DataFrame, k: int, qid: str = "qid") -> DataFrame:
+    """For each point (qid, q_i) nodes_expanded: the nodes no farther than its k-th neighbour, which any search must open.
+
+    neighbours: qid, dist_sq, rank, as knn_join gives them; of fewer than k neighbours the farthest counts.
+    """
+    d = axes(nodes)
+    reach = neighbours.filter(F.col("rank") <= k).groupBy(F.col(qid).alias("_q")).agg(F.max("dist_sq").alias("_reach"))
+    at = points.join(reach, F.col(qid) == F.col("_q")).select(F.col(qid).alias("_q"), "_reach", *[F.col(f"q_{i}") for i in range(d)])
+    slim = few(nodes.select("node_id", "parent_id", "level", *Box.of(d).named()))
+    near = Box.of(d).min_dist_sq([F.col(f"q_{i}") for i in range(d)]) <= F.col("_reach")
+    depth = nodes.agg(F.max("level")).first()[0]
+    coords = [f"q_{i}" for i in range(d)]
+    root = slim.filter("parent_id is null").drop("parent_id", "level")
+    open_ = at.join(F.broadcast(root)).filter(near).select("_q", "_reach", *coords, "node_id")  # one row
+    every = open_.select("_q")
+    for _ in range(depth or 0):
+        open_ = open_.select("_q", "_reach", *coords, F.col("node_id").alias("_p")).join(slim, F.col("_p") == F.col("parent_id")).filter(near).select("_q", "_reach", *coords, "node_id")
+        every = every.unionByName(open_.select("_q"))
+    return every.groupBy(F.col("_q").alias(qid)).agg(F.count(F.lit(1)).alias("nodes_expanded"))
+
+
 def tidy(df: DataFrame, dataset: str, strategy: str, capacity: int, workload: str, param: float) -> DataFrame:
     """A one-row metric frame as rows (dataset, strategy, m, workload, param, metric, value)."""
     names = df.columns

@@ -54,7 +54,9 @@ def split_candidates(df: DataFrame, least: int, node: str = "node", key: str = "
     orders = F.array(*[F.struct(F.lit(i).alias("axis"), F.lit(s).alias("side"), F.col(f"{'max' if s else 'min'}_{i}").cast("double").alias("edge")) for i in range(d) for s in (0, 1)])
     rows = df.select(node, key, *Box.of(d).named(), F.explode(orders).alias("o")).select(node, key, *Box.of(d).named(), "o.axis", "o.side", "o.edge")
     w = Window.partitionBy(node, "axis", "side").orderBy("edge", key)
-    head, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    # The rows after one are those before it in the mirrored order, where a frame grows by a row at a time.
+    mirrored = Window.partitionBy(node, "axis", "side").orderBy(F.desc("edge"), F.desc(key))
+    head, rest = w.rowsBetween(Window.unboundedPreceding, 0), mirrored.rowsBetween(Window.unboundedPreceding, -1)
     one = Box(tuple(F.min(f"min_{i}").over(head) for i in range(d)), tuple(F.max(f"max_{i}").over(head) for i in range(d)))
     two = Box(tuple(F.min(f"min_{i}").over(rest) for i in range(d)), tuple(F.max(f"max_{i}").over(rest) for i in range(d)))
     size = F.count(F.lit(1)).over(Window.partitionBy(node, "axis", "side"))

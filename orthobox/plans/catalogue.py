@@ -15,14 +15,14 @@ from orthobox.functions.boxes import Box, features, mbr
 from orthobox.operators import dp, index, metrics, network, query, splits, workload
 from orthobox.operators.insertion import Node, Tree, least_enlargement, quadratic_split
 from orthobox.plans.tables import CUSTOMER_BOXES, EVENT_POINTS, ORDER_BOXES, ORDER_POINTS, PART_WINDOWS, customer_boxes, event_points, order_boxes, order_points, part_windows, table
-from orthobox.shared import settled, with_rank
+from orthobox.shared import new_folder, settled, with_rank
 from orthobox.sources.readers import as_boxes, check_boxes, prepare_points
 from orthobox.sources.writers import diagram, export_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-FANOUT, LEVELS, CAPACITY, PARTS = 16, 2, 64, 3
+CAPACITY, PARTS = 64, 3
 LO, HI, AT = (10.0, 30.0), (20.0, 40.0), (25.0, 30.0)
 
 
@@ -83,19 +83,21 @@ def mbr_by_group(spark, sf_dir):
     return _rounded(event_points(spark, sf_dir).groupBy("user_id").agg(*mbr(Box.of(2))))
 
 
-@_register(f"""select id, case when least(max_0, 20.0) > greatest(min_0, 10.0) and least(max_1, 40.0) > greatest(min_1, 30.0)
-  then round(greatest(min_0, 10.0), 6) end lo_0, case when least(max_0, 20.0) > greatest(min_0, 10.0) and least(max_1, 40.0) > greatest(min_1, 30.0)
-  then round(least(max_1, 40.0), 6) end hi_1 from {ORDER_BOXES}""")
+_INSIDE = "least(max_0, 20.0) > greatest(min_0, 10.0) and least(max_1, 40.0) > greatest(min_1, 30.0)"
+
+
+@_register(f"""select id, {', '.join(f"case when {_INSIDE} then round({f}({side}_{i}, {v}), 6) end {side}_{i}" for side, f, at in (("min", "greatest", LO), ("max", "least", HI)) for i, v in enumerate(at))}
+  from {ORDER_BOXES}""")
 def box_intersection(spark, sf_dir):
     x = Box.of(2).intersection(Box.at(LO, HI))
-    return order_boxes(spark, sf_dir).select("id", _round(x["min_0"], "lo_0"), _round(x["max_1"], "hi_1"))
+    return order_boxes(spark, sf_dir).select("id", *[_round(x[c], c) for c in ("min_0", "min_1", "max_0", "max_1")])
 
 
 @_register(f"""select id, round(greatest(0.0, least(max_0, 20.0) - greatest(min_0, 10.0)) * greatest(0.0, least(max_1, 40.0) - greatest(min_1, 30.0)), 6) area,
-  round(least(min_0, 10.0), 6) min_0, round(greatest(max_1, 40.0), 6) max_1 from {ORDER_BOXES}""")
+  round(least(min_0, 10.0), 6) min_0, round(least(min_1, 30.0), 6) min_1, round(greatest(max_0, 20.0), 6) max_0, round(greatest(max_1, 40.0), 6) max_1 from {ORDER_BOXES}""")
 def intersection_area(spark, sf_dir):
     b, o = Box.of(2), Box.at(LO, HI)
-    return order_boxes(spark, sf_dir).select("id", _round(b.intersection_area(o), "area"), _round(b.union(o).lo[0], "min_0"), _round(b.union(o).hi[1], "max_1"))
+    return order_boxes(spark, sf_dir).select("id", _round(b.intersection_area(o), "area"), *[F.round(c, 6).alias(n) for c, n in zip([*b.union(o).lo, *b.union(o).hi], ("min_0", "min_1", "max_0", "max_1"))])
 
 
 @_register(f"select id, round(power(greatest(0.0, min_0 - 25.0, 25.0 - max_0), 2) + power(greatest(0.0, min_1 - 30.0, 30.0 - max_1), 2), 6) dist_sq from {ORDER_BOXES}")
@@ -103,14 +105,14 @@ def min_dist(spark, sf_dir):
     return order_boxes(spark, sf_dir).select("id", _round(Box.of(2).min_dist_sq(AT), "dist_sq"))
 
 
-@_register(f"""with b as (select * from {CUSTOMER_BOXES}), e as (select min(min_0) a, min(min_1) b, max(max_0) c, max(max_1) d from b)
-  select id, round((min_0 - a) / (c - a), 6) f0, round((max_1 - b) / (d - b), 6) f3, round((max_0 - min_0) / (c - a), 6) f4,
-  round((max_0 - min_0) / (c - a) * ((max_1 - min_1) / (d - b)), 6) f6, round(((min_1 - b) / (d - b) + (max_1 - b) / (d - b)) / 2, 6) f8 from b, e""")
+@_register(f"""with b as (select * from {CUSTOMER_BOXES}), e as (select min(min_0) a, min(min_1) b, max(max_0) - min(min_0) c, max(max_1) - min(min_1) d from b),
+  f as (select id, (min_0 - a) / c f0, (min_1 - b) / d f1, (max_0 - a) / c f2, (max_1 - b) / d f3 from b, e)
+  select id, {', '.join(f"round({x}, 6) f{i}" for i, x in enumerate(("f0", "f1", "f2", "f3", "f2 - f0", "f3 - f1", "(f2 - f0) * (f3 - f1)", "(f0 + f2) / 2", "(f1 + f3) / 2")))} from f""")
 def box_features(spark, sf_dir):
     boxes = customer_boxes(spark, sf_dir)
     f = features(Box.of(2), Box.of(2, "x"))
     both = boxes.join(F.broadcast(boxes.agg(*mbr(Box.of(2), "x"))))  # one row
-    return both.select("id", *[_round(f[i], f"f{i}") for i in (0, 3, 4, 6, 8)])
+    return both.select("id", *[_round(c, f"f{i}") for i, c in enumerate(f)])
 
 
 # --- queries
@@ -184,14 +186,18 @@ def _part_points(spark, sf_dir):
 @_register(f"""select qid, id, round(d, 6) dist_sq, rank from (select qid, id, d, cast(row_number() over (partition by qid order by d, id) as int) rank
   from (select p_partkey qid, id, power(min_0 - p_size * 10.0, 2) + power(min_1 - (p_retailprice - 900) * 24, 2) d from part, {ORDER_POINTS})) where rank <= 3""")
 def knn_join(spark, sf_dir):
-    tree = index.build_str(order_points(spark, sf_dir), CAPACITY, FANOUT, LEVELS)
+    tree = index.build_str(order_points(spark, sf_dir), CAPACITY)
     return _rounded(query.knn_join(_part_points(spark, sf_dir), tree.nodes, tree.entries, 3))
 
 
-# --- a sort-tile index: 16 slabs by the first axis' centres, 16 tiles of each by the second's
+# --- a sort-tile index: slabs by the first axis' centres, as many tiles of each by the second's, enough for the capacity
+
 
-_STR = f"""with b as (select * from {ORDER_BOXES}), s as (select *, ntile({FANOUT}) over (order by (min_0 + max_0) / 2, id) - 1 sl from b),
-l as (select *, ntile({FANOUT}) over (partition by sl order by (min_1 + max_1) / 2, id) - 1 tl from s),
+def str_sql(boxes: str, capacity: int) -> str:
+    """Entries e and nodes of the sort-tile index of boxes on two axes."""
+    return f"""with b as (select * from {boxes}), f as (select cast(ceil(sqrt(ceil(count(*) / {capacity}.0))) as bigint) f from b),
+s as (select b.*, f, ntile(f) over (order by (min_0 + max_0) / 2, id) - 1 sl from b, f),
+l as (select *, ntile(f) over (partition by sl order by (min_1 + max_1) / 2, id) - 1 tl from s),
 e as (select id, {_BOX}, 'r.' || sl || '.' || tl node_id, 'r.' || sl slab from l),
 nodes as (select node_id, slab parent_id, 2 as level, true is_leaf, count(*) n_entries, count(*) n_children, min(min_0) min_0, min(min_1) min_1, max(max_0) max_0, max(max_1) max_1 from e group by 1, 2
   union all select slab, 'r', 1, false, count(*), count(distinct node_id), min(min_0), min(min_1), max(max_0), max(max_1) from e group by 1
@@ -199,8 +205,11 @@ nodes as (select node_id, slab parent_id, 2 as level, true is_leaf, count(*) n_e
 """
 
 
+_STR = str_sql(ORDER_BOXES, CAPACITY)
+
+
 def _tree(spark, sf_dir):
-    return index.build_str(order_boxes(spark, sf_dir), CAPACITY, FANOUT, LEVELS)
+    return index.build_str(order_boxes(spark, sf_dir), CAPACITY)
 
 
 @_register(f"{_STR} select id, node_id from e")
@@ -221,10 +230,11 @@ def export_nodes(spark, sf_dir):
     return _rounded(out.select(F.col("id").alias("node_id"), "parent_id", F.col("level").cast("int"), "leaf", "n_entries", "n_children", "min_0", "min_1", "max_0", "max_1"))
 
 
-@_register(f"{_STR} select 'n' kind, count(*) n from nodes union all select 'l', count(*) - 1 from nodes")
+@_register(f"""{_STR} select 0 n, 'digraph {{' line union all select 3, '}}' union all
+  select 1, '  "' || node_id || '" [shape=record, label="{{' || node_id || '|[' || round(min_0, 3) || ', ' || round(max_0, 3) || '], [' || round(min_1, 3) || ', ' || round(max_1, 3) || ']}}"];' from nodes union all
+  select 2, '  "' || parent_id || '" -> "' || node_id || '";' from nodes where parent_id is not null""")
 def export_diagram(spark, sf_dir):
-    lines = diagram(_tree(spark, sf_dir)).filter("n in (1, 2)")
-    return lines.groupBy(F.when(F.col("n") == 1, "n").otherwise("l").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return diagram(_tree(spark, sf_dir)).select("n", "line")
 
 
 @_register(f"{_STR} select node_id, level from nodes where max_0 > 10 and min_0 < 20 and max_1 > 30 and min_1 < 40")
@@ -281,17 +291,17 @@ def self_overlap_pairs(spark, sf_dir):
 # --- other builds: the answers must be those of the plain predicate
 
 
-def _top_down_sql(depth: int = 12) -> str:
-    """The fallback build to a fixed depth, deep enough for these tables: nodes over CAPACITY are cut, others are left."""
+def top_down_sql(depth: int = 12, capacity: int = CAPACITY, parts: int = PARTS) -> str:
+    """The fallback build to a fixed depth, deep enough for these tables: nodes over capacity are cut, others are left."""
     out = [f"with t0 as (select id, {_BOX}, 'r' node_id from {ORDER_POINTS})"]
     for level in range(depth):
         axis = level % 2
-        cut = f"cast(floor((row_number() over (partition by node_id order by (min_{axis} + max_{axis}) / 2, id) - 1) / ceil(count(*) over (partition by node_id) / {PARTS}.0)) as int)"
-        out.append(f"t{level + 1} as (select id, {_BOX}, case when count(*) over (partition by node_id) > {CAPACITY} then node_id || '.' || {cut} else node_id end node_id from t{level})")
+        cut = f"cast(floor((row_number() over (partition by node_id order by (min_{axis} + max_{axis}) / 2, id) - 1) / ceil(count(*) over (partition by node_id) / {parts}.0)) as int)"
+        out.append(f"t{level + 1} as (select id, {_BOX}, case when count(*) over (partition by node_id) > {capacity} then node_id || '.' || {cut} else node_id end node_id from t{level})")
     return ", ".join(out) + f" select id, node_id from t{depth}"
 
 
-@_register(_top_down_sql())
+@_register(top_down_sql())
 def build_topdown_fallback(spark, sf_dir):
     return index.build_top_down(order_points(spark, sf_dir), CAPACITY, PARTS).entries.select("id", "node_id")
 
@@ -506,16 +516,14 @@ def synthetic_points(spark, sf_dir):
 
 @_register(f"select user_id, {_MBR} from {EVENT_POINTS} group by user_id")
 def stream_mbr(spark, sf_dir):
-    """Extents by user from events read as a stream, each row once."""
-    import uuid
-
+    """Extents by user from events read as a stream, each row once; the last state is what is in the shared folder."""
     from orthobox.streaming.boxes import running_mbr
 
-    name = f"mbr_{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     x = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3.6e9
     points = stream.select("user_id", *Box.point([x, F.col("value")]).named())
-    running = running_mbr(points, "user_id").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return _rounded(spark.table(name))
+    write = running_mbr(points, "user_id").writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
+    write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/extents")).trigger(availableNow=True).start().awaitTermination()
+    return _rounded(spark.read.parquet(f"{folder}/extents"))

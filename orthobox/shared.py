@@ -3,28 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from spark.checkpoint.dir from then on.
-
-    Where that is unset, a temporary folder serves, in local mode only.
-    """
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one, in local mode only."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = f"file://{tempfile.mkdtemp(prefix='checkpoints')}"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and read from the shared folder from then on."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def few(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """The same rows, settled and counted, to be broadcast if there are no more than the limit."""
+    df = settled(df)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """The rows with their place, from 0, in the whole table's order: a range partitioning and one count per partition.
 

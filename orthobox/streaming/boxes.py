@@ -20,9 +20,14 @@ def windowed_mbr(stream: DataFrame, time: str, width: str, late: str) -> DataFra
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("window")).agg(F.count(F.lit(1)).alias("n"), *mbr(Box.of(axes(stream))))
 
 
-def standing_queries(stream: DataFrame, queries: DataFrame, qid: str = "qid", key: str = "id") -> DataFrame:
-    """Pairs (qid, id) of arriving boxes and a fixed, small table of query boxes, which goes to every task."""
+def standing_queries(stream: DataFrame, queries: DataFrame, qid: str = "qid", key: str = "id", most: int = 10_000) -> DataFrame:
+    """Pairs (qid, id) of arriving boxes and a fixed table of at most `most` query boxes, which goes to every task.
+
+    For more of them run a range join on each batch, as with foreachBatch.
+    """
     d = axes(stream)
+    if queries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} standing queries")
     return stream.join(F.broadcast(queries), Box.of(d, "q").intersects(Box.of(d))).select(qid, key)
 
 

@@ -85,3 +85,36 @@ def test_workloads_stay_in_place(points):
     for df in (workload.relative_windows(points, 50, 0.5), workload.fixed_windows(points, 50, 500.0), workload.random_ranges(points, 50, 0.001, 0.01, clip=True)):
         assert df.filter((F.col("qmin_0") < e["min_0"]) | (F.col("qmax_1") > e["max_1"]) | (F.col("qmin_0") > F.col("qmax_0"))).count() == 0
     assert workload.random_ranges(points, 9).collect() == workload.random_ranges(points, 9).collect()
+
+
+def test_counts_are_brute_force():
+    import numpy as np
+
+    from orthobox.operators.counting import window_counts
+
+    r = np.random.default_rng(0)
+    for d in (1, 2):
+        for i in range(200):
+            n, m = r.integers(0, 40, 2)
+            lo, qlo = r.integers(0, 8, (n, d)).astype(float), r.integers(0, 8, (m, d)).astype(float)
+            hi, qhi = lo + r.integers(-(i % 3 == 0), 5, (n, d)), qlo + r.integers(-(i % 5 == 0), 4, (m, d))
+            assert (window_counts(lo, hi, qlo, qhi) == ((hi[None] > qlo[:, None]) & (lo[None] < qhi[:, None])).all(2).sum(1)).all()
+
+
+def test_hot_cells_lose_no_pair(spark, points, monkeypatch):
+    """Boxes that nearly all lie in one cell, more pairs there than a task takes, on two and on five axes."""
+    windows = workload.random_ranges(points, 40, 0.3, 0.9)
+    want = sorted((q["qid"], p["id"]) for q in windows.collect() for p in points.collect() if p["max_0"] > q["qmin_0"] and p["min_0"] < q["qmax_0"] and p["max_1"] > q["qmin_1"] and p["min_1"] < q["qmax_1"])
+    tree = index.build_str(points, 20)
+    for pairs in (1000, 10**9):
+        monkeypatch.setattr(query, "CELL_PAIRS", pairs)
+        assert sorted(map(tuple, query.range_join(windows, points).collect())) == want
+    monkeypatch.setattr(query, "COUNTED", 3)
+    counted = {r["qid"]: r["n_results"] for r in query.range_join_counts(windows, points).collect()}
+    assert sorted(map(tuple, query.indexed_range_join(windows, tree.nodes, tree.entries).collect())) == want
+    assert counted == {q["qid"]: sum(a == q["qid"] for a, _ in want) for q in windows.collect()}
+    many = spark.range(300).select("id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10)).cast("double").alias(c) for i in range(5) for c in (f"min_{i}", f"max_{i}")])
+    around = many.select(F.col("id").alias("qid"), *[(F.col(f"{s}_{i}") + x).alias(f"q{s}_{i}") for i in range(5) for s, x in (("min", -4.5), ("max", 4.5))])
+    a, b = around.collect(), many.collect()
+    want = sorted((q["qid"], p["id"]) for q in a for p in b if all(p[f"max_{i}"] > q[f"qmin_{i}"] and p[f"min_{i}"] < q[f"qmax_{i}"] for i in range(5)))
+    assert sorted(map(tuple, query.range_join(around, many).collect())) == want
