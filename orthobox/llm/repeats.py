@@ -10,6 +10,9 @@ row per run of such windows is shuffled, about one for 35 bytes, with a hash of
 cover. Runs whose region stands earlier too are repeats as a whole; this is found within a task's piece before the shuffle
 and across pieces after it, in a sorted stream. Only the first runs of grams with several different regions go on to the
 passes over their bytes. Grams with over GROUP regions are sorted in parts, whose first windows meet in one more step.
+Grams that a sample shows to fill tasks, as those of a common line do, are dealt by region too, so that no task gets all runs
+of one; the sample decides only where rows go. Runs are equal by two hashes of 64 bits, of the gram and of the region: among
+10^12 different runs (about 35 TB) two with both equal are expected 10^-15 times.
 """
 
 from __future__ import annotations
@@ -25,12 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orthobox.llm._rows import Tables, mixed, pieces, prefix_hashes, raw, span_hashes, text_bytes
+from orthobox.llm._rows import Tables, mixed, pieces, prefix_hashes, raw, small_batches, span_hashes, text_bytes
 from orthobox.llm._shared import settled
 
 DEPTH = 100
 GRAM = 32
-GROUP = 8192
+GROUP = 1024
+#: A gram is hot if one row of so many, by a sample of 1 / SAMPLE of the documents, has it: its runs are dealt to several tasks.
+SAMPLE = 64
+LEAST_HOT = 16
 CHUNK = 2 << 20
 #: Windows sorted at once.
 AT_ONCE = 400_000
@@ -127,20 +133,21 @@ def _local_runs(batches: Iterator[pa.RecordBatch], depth: int, gram: int) -> Ite
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch], depth: int, group: int) -> Iterator[pa.RecordBatch]:
-    """Over runs by (gram, region, doc, run): removed spans (kind 0: a to b), and the first run of each region of grams
-    with several (kind 1: a the run, part the number of regions of the gram before it, by group)."""
+    """Over runs by (gram, share, region, doc, run): removed spans (kind 0: a to b), and the first run of each region of
+    grams with several, or with several shares (kind 1: a the run, part the share and the number of regions of the gram and
+    share before it, by group). The share of a gram that has only one is 0, that of others 1 or more."""
     gram = region = None
     held = None  # the first region's run of a gram of which no second has come yet
     count = 0
     for batch in batches:
-        g, r, doc, run = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        g, r, doc, run, share = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         span = run < 0
         out = [np.zeros(int(span.sum()), np.int64), doc[span], g[span], np.zeros(int(span.sum()), np.int64), -1 - run[span], r[span]]
-        g, r, doc, run = g[~span], r[~span], doc[~span], run[~span]
+        g, r, doc, run, share = g[~span], r[~span], doc[~span], run[~span], share[~span]
         if len(g):
             new_gram, new = np.ones(len(g), bool), np.ones(len(g), bool)
-            new_gram[1:] = g[1:] != g[:-1]
-            new_gram[0] = gram is None or g[0] != gram
+            new_gram[1:] = (g[1:] != g[:-1]) | (share[1:] != share[:-1])
+            new_gram[0] = gram != (g[0], share[0])
             new[1:] = new_gram[1:] | (r[1:] != r[:-1])
             new[0] = new_gram[0] or r[0] != region
             again = ~new
@@ -163,18 +170,18 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], depth: int, group: int) -> I
                 kinds.append(held)
                 held = None
             last = slice(starts[-1] if len(starts) else 0, len(at))
-            chosen = size > 1
+            chosen = (size > 1) | (share[at] > 0)
             x = at[chosen]
-            kinds.append([np.ones(len(x), np.int64), doc[x], g[x], number[chosen] // group, run[x], np.zeros(len(x), np.int64)])
+            kinds.append([np.ones(len(x), np.int64), doc[x], g[x], share[x] << 32 | number[chosen] // group, run[x], np.zeros(len(x), np.int64)])
             if len(starts):
                 count = len(at) - starts[-1]
                 held = None
-                if count == 1:
+                if count == 1 and not share[at[-1]]:
                     i = at[-1]
                     held = [np.array([v], np.int64) for v in (1, doc[i], g[i], 0, run[i], 0)]
             else:
                 count = before + len(at)
-            gram, region = g[-1], r[-1]
+            gram, region = (g[-1], share[-1]), r[-1]
             out = [np.concatenate(c) for c in zip(*kinds)]
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["kind", "doc", "gram", "part", "a", "b"])
 
@@ -300,7 +307,17 @@ def _with_order(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     return rows, rows.select("doc", "t").dropDuplicates(["doc"])
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def _hot_grams(docs: DataFrame, depth: int, gram: int, partitions: int, least: int) -> DataFrame:
+    """gram, shares: grams that fill a quarter of a task or more, by the runs of a sample of documents; few, as they are so large."""
+    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).select("doc", "t")
+    counts = some.mapInArrow(lambda it: _local_runs(it, depth, gram), _ROWS).filter("run >= 0").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = settled(counts.filter(F.col("n") >= 2))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(least, total // (4 * partitions))
+    return counts.filter(F.col("n") >= most).select("gram", F.greatest(F.lit(2), F.least(F.lit(4 * partitions), F.ceil(F.col("n") * 2 / most))).cast("long").alias("shares"))
+
+
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group: int = GROUP, least_hot: int = LEAST_HOT) -> DataFrame:
     """doc, a, b: spans whose union, in each document, are its bytes that a window covers which also starts earlier.
 
     docs: doc (long, the order) and t (binary), one row per document.
@@ -308,9 +325,13 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group:
     gram = min(gram, depth)
     if depth < 2 or depth > 4000:
         raise ValueError("depth: 2 to 4000 bytes")
+    small_batches(docs.sparkSession)
     partitions = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    crowded = settled(_hot_grams(docs, depth, gram, partitions, least_hot))
     rows = docs.select("doc", "t").mapInArrow(lambda it: _local_runs(it, depth, gram), _ROWS)
-    found = settled(rows.repartition(partitions, "gram").sortWithinPartitions("gram", "region", "doc", "run").mapInArrow(lambda it: _sorted_runs(it, depth, group), _FOUND))
+    share = F.when((F.col("run") < 0) | F.col("shares").isNull(), F.lit(0)).otherwise(F.pmod("region", "shares") + 1)
+    dealt = rows.join(F.broadcast(crowded), "gram", "left").select("gram", "region", "doc", "run", share.cast("long").alias("share"))  # 4 * partitions grams or so at most
+    found = settled(dealt.repartition(partitions, "gram", "share").sortWithinPartitions("gram", "share", "region", "doc", "run").mapInArrow(lambda it: _sorted_runs(it, depth, group), _FOUND))
     spans = found.filter("kind = 0").select("doc", "a", "b")
     several = found.filter("kind = 1")
     hot = several.filter("part > 0").select("gram").distinct().withColumn("hot", F.lit(True))  # at most one gram for `group` rows
@@ -334,7 +355,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, depth: int = DEPTH, gram:
     Removes each byte covered by a window of depth bytes that also starts earlier: in a document of a smaller key, or before
     in the same one. Windows are those of the input and never cross documents. Null texts count as empty. Null keys come
     last; rows with equal keys are ordered by their texts' SHA-256, and repeated rows (equal key and text) are one document,
-    with one result.
+    with one result. Other columns, whatever their names, are dropped; an empty table gives no rows.
     """
     docs, once = _with_order(df, key, text)
     spans = repeated_spans(once, depth, gram, group).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -186,8 +186,12 @@ def brute_repeats(rows, depth):
     return out
 
 
-@pytest.mark.parametrize("depth, gram, group", [(12, 5, 8192), (20, 8, 2), (100, 32, 8192), (7, 7, 3)])
-def test_repeats_are_brute_force(spark, depth, gram, group):
+@pytest.mark.parametrize("depth, gram, group, least", [(12, 5, 8192, 10**6), (12, 5, 8192, 2), (20, 8, 2, 3), (100, 32, 8192, 4), (7, 7, 3, 10**6)])
+def test_repeats_are_brute_force(spark, monkeypatch, depth, gram, group, least):
+    """With every gram alone in its task, and with those that occur `least` times dealt to several."""
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    own = repeats.repeated_spans
+    monkeypatch.setattr(repeats, "repeated_spans", lambda docs, *a: own(docs, *a, least_hot=least))
     r = random.Random(depth)
     base = ["".join(r.choice("abé") for _ in range(160)) for _ in range(5)] + ["a" * 250, "ab" * 120]
     rows = [(i, "".join(r.choice(base)[r.randint(0, 9) : r.randint(20, 250)] for _ in range(r.randint(0, 5)))) for i in range(120)] + [(500, None), (501, "")]
