@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orthobox.llm._rows import Tables, mixed, pieces, prefix_hashes, raw, small_batches, span_hashes, text_bytes
-from orthobox.llm._shared import settled
+from orthobox.llm._shared import free_shuffles, settled
 
 DEPTH = 100
 GRAM = 32
-GROUP = 1024
+GROUP = 2048
 #: A gram is hot if one row of so many, by a sample of 1 / SAMPLE of the documents, has it: its runs are dealt to several tasks.
 SAMPLE = 64
 LEAST_HOT = 16
@@ -332,6 +332,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group:
     share = F.when((F.col("run") < 0) | F.col("shares").isNull(), F.lit(0)).otherwise(F.pmod("region", "shares") + 1)
     dealt = rows.join(F.broadcast(crowded), "gram", "left").select("gram", "region", "doc", "run", share.cast("long").alias("share"))  # 4 * partitions grams or so at most
     found = settled(dealt.repartition(partitions, "gram", "share").sortWithinPartitions("gram", "share", "region", "doc", "run").mapInArrow(lambda it: _sorted_runs(it, depth, group), _FOUND))
+    free_shuffles(docs.sparkSession)
     spans = found.filter("kind = 0").select("doc", "a", "b")
     several = found.filter("kind = 1")
     hot = several.filter("part > 0").select("gram").distinct().withColumn("hot", F.lit(True))  # at most one gram for `group` rows
@@ -341,6 +342,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group:
     regions = docs.select("doc", "t").join(per_doc, "doc").select("doc", "t", F.explode("runs").alias("r")).select("r.gram", "r.part", "doc", F.col("r.a").alias("run"), "r.hot", F.substring("t", (lo + 1).cast("int"), (hi + depth).cast("int")).alias("bytes"))
     regions = regions.repartition(partitions, "gram", "part").sortWithinPartitions("gram", "part")
     finer = settled(regions.mapInArrow(lambda it: _sort_regions(it, depth), _FOUND))
+    free_shuffles(docs.sparkSession)
     spans = spans.unionByName(finer.filter("kind = 0").select("doc", "a", "b"))
     firsts = finer.filter("kind = 1").select("gram", "part", "doc", "a")
     if firsts.head(1):
