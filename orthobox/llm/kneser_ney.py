@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orthobox.llm._files import map_array, write_array
-from orthobox.llm._rows import LOWER, Tables, map_texts, mixed, pieces, prefix_hashes, raw, span_hashes, text_bytes, words
+from orthobox.llm._rows import CHUNK_BYTES, LOWER, Tables, map_texts, mixed, pieces, prefix_hashes, raw, small_batches, span_hashes, text_bytes, words
 from orthobox.llm._shared import new_folder
 
 #: The end of a text, as a token.
@@ -218,10 +218,15 @@ def _taken(counts: np.ndarray, d: Sequence[float]) -> np.ndarray:
 
 
 def train(df: DataFrame, text: str, buckets: int | None = None) -> Model:
-    """A model of all rows' whole texts, null ones as empty. Its files stay in the shared folder."""
+    """A model of all rows' whole texts, null ones as empty; repeated rows count as often as they occur, and an empty table
+    gives a model that knows nothing. Its files stay in the shared folder.
+
+    There are as many buckets as shuffle partitions, or as splits of the input if those are more: a task holds one bucket.
+    """
     spark = df.sparkSession
+    small_batches(spark)
     folder = new_folder(spark, "bigrams")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     texts = df.select(text_bytes(text).alias("t"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +238,7 @@ def train(df: DataFrame, text: str, buckets: int | None = None) -> Model:
             return _blobs([(b, 0, _pack(key[x:y], n[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y])
 
         for batch in batches:
-            for piece in pieces(batch, 0, 4 << 20):
+            for piece in pieces(batch, 0, CHUNK_BYTES):
                 fresh.append(tokens(piece.column(0), tables)[0])
                 size += len(fresh[-1])
                 if size >= FLUSH:
@@ -286,7 +291,7 @@ def train(df: DataFrame, text: str, buckets: int | None = None) -> Model:
             return _blobs(rows)
 
         for batch in batches:
-            for piece in pieces(batch, 0, 4 << 20):
+            for piece in pieces(batch, 0, CHUNK_BYTES):
                 h, row = tokens(piece.column(0), tables)
                 w = reader.ids(h)[0]
                 u = np.empty_like(w)
@@ -405,7 +410,8 @@ def score_tokens(reader: Reader, texts: pa.Array, tables: Tables) -> list[np.nda
 def score_texts(df: DataFrame, keep: Sequence[str], text: str, model: Model) -> DataFrame:
     """The kept columns with n_tokens, n_known, train_tokens, base_score, score and perplexity of every whole text.
 
-    A null or empty text has one token, its end. Without training text every probability is 1.
+    A null or empty text has one token, its end. Without training text every probability is 1. Repeated rows get the same
+    result each, an empty table gives no rows. Where a kept column has one of the names, that of the result gets underscores.
     """
     outputs = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "perplexity")]
 

@@ -294,7 +294,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int
 
     Two rows are linked if their fingerprints differ in at most tau bits; components are closed under links. Equal
     fingerprints are handled once, so copies cost no pairs. Null keys do not count for component_id, which is null only
-    where a component has no other. Empty and null texts have fingerprint 0.
+    where a component has no other. Empty and null texts have fingerprint 0, and so are linked to each other. A bit that half
+    of the hashes have is 0. No rows give no rows; other columns, whatever their names, are dropped.
     """
     docs = settled(fingerprint_texts(df, [key], text, width))
     least = docs.groupBy("fp").agg(F.min(key).alias("least"))
