@@ -24,9 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from the shared folder from then on."""
+    """The same rows, computed once and read from the shared folder from then on.
+
+    A checkpoint inherits its plan's estimated size, which every join multiplies: in a loop the numbers get millions of digits
+    and planning takes minutes. The rows are therefore taken without it.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), df.sparkSession)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
