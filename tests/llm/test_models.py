@@ -89,17 +89,39 @@ def test_toxicity_of_odd_rows(spark):
         assert none.score(pa.array([b"vile scum"], pa.binary()), Tables())[0] < 0.5
 
 
-def brute_kept(docs, links):
-    """Of each component the least doc_id."""
-    low = {i: i for i in docs}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            m = min(low[a], low[b])
-            changed |= low[a] != m or low[b] != m
-            low[a] = low[b] = m
-    return {i for i in docs if low[i] == i}
+def test_run_is_brute_force(spark):
+    """The whole pipeline, each stage by the plainest way to its result."""
+    import hashlib
+
+    import corpus_pipeline as pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_corpora import brute_one_of_each, oracle
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model, tables = toxicity.fit(docs, labels, "doc_id", "text", "toxic", F.lit(True)), Tables()
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rows = sorted((k, t) for k, t in rows if model.score(pa.array([(t or "").encode()], pa.binary()), tables)[0] < pipeline.TOXIC)
+    rows = brute_one_of_each(rows)
+    hit = {x[0] for x in oracle(spark.createDataFrame(rows, "doc_id long, text string"), items) if x[5]}
+    library, expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for k, t in rows:
+        if k not in hit:
+            masked = secrets.redacted(t or "", secrets.scan(pa.array([(t or "").encode()], pa.binary()))[0], "[SECRET]")
+            ids = library.encode(masked, add_special_tokens=False).ids
+            expected[k] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in pipeline.run(spark, sf).collect()} == expected
+
+
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0).withColumns({c: F.lit("x") for c in ("score", "sha", "share", "t", "spans", "k", "key_", "hash_")})
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.count() == 0 and (name == "bpe" or got.columns == docs.columns)
 
 
 def test_pipeline(spark):
