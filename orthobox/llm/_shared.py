@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from the shared folder from then on."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, computed once, written to the shared folder as Parquet and read from there from then on.
+
+    Unlike a checkpoint, the frame that is read has its files' size as estimate: a checkpoint inherits its plan's, which joins
+    multiply until, after a few rounds of a loop, planning takes minutes. Partitioning and order are not kept.
+    """
+    path = new_folder(df.sparkSession, "settled")
+    columns = [f"c{i}" for i in range(len(df.columns))]  # names that differ in case only are one to Parquet
+    df.toDF(*columns).write.parquet(path)
+    return df.sparkSession.read.schema(T.StructType([T.StructField(c, f.dataType) for c, f in zip(columns, df.schema.fields)])).parquet(path).toDF(*df.columns)
 
 
 def free_shuffles(spark: SparkSession) -> None:
