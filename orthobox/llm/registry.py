@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthobox.llm import bpe, conversations, decontamination, embeddings, kneser_ney, language, repeats, secrets, sharding, simhash, sketch, toxicity
+from orthobox.llm import bpe, collocations, conversations, decontamination, embeddings, kneser_ney, language, repeats, secrets, sharding, simhash, sketch, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,7 +77,11 @@ def op12_tight_arc_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(damaged, "conv", "turn", "role", "text", F.col("gone")).withColumnRenamed("conv", "conv_id")
 
 
-_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op3_winnowing, op4_bigru_language, op5_entropy_secrets, op6_bpe, op7_kneser_ney, op8_simhash_gph, op9_scaled_sketch, op10_radix_repeats, op11_rotated_codes, op12_tight_arc_repair)
+def op13_hashed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_read(spark, sf_dir, "documents"), "text", "lang", support=30, longest=4, top=2000)
+
+
+_QUERIES = (op1_nnpu_toxicity, op2_rendezvous_sharding, op3_winnowing, op4_bigru_language, op5_entropy_secrets, op6_bpe, op7_kneser_ney, op8_simhash_gph, op9_scaled_sketch, op10_radix_repeats, op11_rotated_codes, op12_tight_arc_repair, op13_hashed_phrases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
