@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -24,6 +25,9 @@ LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes of a span beyond which its polynomial is not trusted.
+LONG = 256
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -146,16 +150,30 @@ class Tables:
 
 
 def prefix_hashes(data: np.ndarray, tables: Tables) -> np.ndarray:
-    """Running polynomial sums; (p[e] - p[s]) * down[s] is the hash of data[s:e], equal wherever the bytes stand."""
+    """Running polynomial sums; (p[e] - p[s]) * down[s] is the polynomial of data[s:e], equal wherever the bytes stand."""
     tables.need(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_CODES[data] * tables.up[: len(data)], out=out[1:])
     return out
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: Tables) -> np.ndarray:
-    """A well-mixed 64-bit hash of each data[start:end]."""
-    return mixed((prefix[ends] - prefix[starts]) * tables.down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+def span_hashes(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: Tables) -> np.ndarray:
+    """A well-mixed 64-bit hash of each data[start:end].
+
+    Polynomials modulo 2**64 are equal for some long strings that repeat themselves, whatever the base: spans of over LONG
+    bytes get a cryptographic hash instead.
+    """
+    out = mixed((prefix[ends] - prefix[starts]) * tables.down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        out[long] = digests(data, starts[long], ends[long])
+    return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2 hash of each data[start:end]."""
+    whole, digest = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    return np.frombuffer(b"".join([digest(whole[s:e], digest_size=8).digest() for s, e in zip(starts.tolist(), ends.tolist())]), "<u8")
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

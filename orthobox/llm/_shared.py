@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -35,6 +36,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(T.StructType([T.StructField(c, f.dataType) for c, f in zip(columns, df.schema.fields)])).parquet(path).toDF(*df.columns)
 
 
+def join_dealt(rows: DataFrame, table: DataFrame, on: str, sizes: DataFrame, most: int) -> DataFrame:
+    """rows joined with the table, which has one row per key. Keys with over `most` rows (sizes: the key, n) are dealt to
+    several tasks, their row of the table to each; there are at most rows / most of them."""
+    hot = settled(sizes.filter(F.col("n") > most).select(on, F.ceil(F.col("n") / most).cast("int").alias("shares_")))
+    if not hot.head(1):
+        return rows.join(table, on)
+    share = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("shares_").cast("long")).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("share_", share).drop("shares_")
+    right = table.join(F.broadcast(hot), on, "left").withColumn("share_", F.explode(F.sequence(F.lit(0), F.coalesce("shares_", F.lit(1)) - 1))).drop("shares_")
+    return left.join(right, [on, "share_"]).drop("share_")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of frames that are settled and no longer held: its cleaner waits for the driver's
     garbage collection, which a driver with little to do may put off until the disks are full."""

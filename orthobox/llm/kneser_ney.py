@@ -13,6 +13,7 @@ Tokens are counted first, so pairs travel as two small ids; counts are added up
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ from orthobox.llm._shared import new_folder
 END = np.uint64(0x7F4A7C159E3779B9)
 #: Tokens that a task counts before it passes them on.
 FLUSH = 3_000_000
+#: Bytes of text for which there is one bucket, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4096
 _BLOBS = "bucket int, kind int, blob binary"
 
 
@@ -38,7 +41,7 @@ def tokens(texts: pa.Array, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = raw(texts)
     data = LOWER[data]
     starts, ends, row = words(data, offsets)
-    h = span_hashes(prefix_hashes(data, tables), starts, ends, tables) if len(starts) else np.zeros(0, np.uint64)
+    h = span_hashes(data, prefix_hashes(data, tables), starts, ends, tables) if len(starts) else np.zeros(0, np.uint64)
     n = len(texts)
     last = np.cumsum(np.bincount(row, minlength=n) + 1) - 1
     out = np.full(len(h) + n, END)
@@ -95,18 +98,26 @@ def _blobs(rows: Sequence[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """The (kind, blob) of each bucket, of rows in the order of their bucket."""
-    now, held = None, []
-    for batch in batches:
-        for bucket, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if bucket != now:
-                if held:
-                    yield now, held
-                now, held = bucket, []
-            held.append((kind, blob))
-    if held:
-        yield now, held
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
+    """The (kind, blob) of each bucket, of rows in the order of their bucket; they are read as they are asked for."""
+    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3))))
+    for bucket, own in itertools.groupby(rows, key=lambda row: row[0]):
+        yield bucket, (row[1:] for row in own)
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts in order and their summed counts.
+
+    Parts are taken in until they are as long as the result so far, so that about twice the result is held, not all parts.
+    """
+    key, n, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for k, c in parts:
+        fresh.append((k, c))
+        size += len(k)
+        if size >= max(FLUSH, len(key)):
+            key, n = _summed(*(np.concatenate(x) for x in zip((key, n), *fresh)))
+            fresh, size = [], 0
+    return _summed(*(np.concatenate(x) for x in zip((key, n), *fresh))) if fresh else (key, n)
 
 
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
@@ -221,13 +232,17 @@ def train(df: DataFrame, text: str, buckets: int | None = None) -> Model:
     """A model of all rows' whole texts, null ones as empty; repeated rows count as often as they occur, and an empty table
     gives a model that knows nothing. Its files stay in the shared folder.
 
-    There are as many buckets as shuffle partitions, or as splits of the input if those are more: a task holds one bucket.
+    There are as many buckets as shuffle partitions, or one for BUCKET_BYTES of text if those are more, but no more than
+    MOST_BUCKETS: a task holds one bucket, a scoring task maps six files of each, and a counting task sends at most one row to
+    each whenever it has FLUSH tokens, so rows grow with the input's splits and not with their square.
     """
     spark = df.sparkSession
     small_batches(spark)
     folder = new_folder(spark, "bigrams")
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     texts = df.select(text_bytes(text).alias("t"))
+    if buckets is None:
+        size = texts.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
@@ -256,8 +271,7 @@ def train(df: DataFrame, text: str, buckets: int | None = None) -> Model:
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in _by_bucket(batches):
-            key, n = (np.concatenate(x) for x in zip(*(_unpack(b) for _, b in held)))
-            key, n = _summed(key, n.astype(np.int64))
+            key, n = _merged((k, n.astype(np.int64)) for k, n in (_unpack(b) for _, b in held))
             write_array(f"{folder}/words-{bucket}", key)
             write_array(f"{folder}/counts-{bucket}", n.astype(np.uint32 if len(n) == 0 or n.max() < 1 << 32 else np.uint64))
             at = np.searchsorted(key, END)
@@ -310,13 +324,8 @@ def train(df: DataFrame, text: str, buckets: int | None = None) -> Model:
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in _by_bucket(batches):
-            keys, counts = [], []
-            while held:
-                u, runs, w, n = _unpack(held.pop()[1])
-                keys.append(np.repeat(np.cumsum(u), runs.astype(np.int64)) << np.uint64(32) | w)
-                counts.append(n.astype(np.int64))
-            key, n = _summed(np.concatenate(keys), np.concatenate(counts))
-            del keys, counts
+            unpacked = (_unpack(blob) for _, blob in held)
+            key, n = _merged((np.repeat(np.cumsum(u), runs.astype(np.int64)) << np.uint64(32) | w, n.astype(np.int64)) for u, runs, w, n in unpacked)
             write_array(f"{folder}/pairs-{bucket}", key)
             write_array(f"{folder}/pair_counts-{bucket}", np.minimum(n, 255).astype(np.uint8))
             many = np.flatnonzero(n >= 255)

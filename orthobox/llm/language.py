@@ -23,6 +23,8 @@ from orthobox.llm._shared import settled
 SPAN = 64
 HIDDEN = 8
 PER_LANGUAGE = 400
+#: Bytes of text that training takes from all languages together, but for one text of each.
+SAMPLE_BYTES = 64 << 20
 #: Chosen keys and languages are broadcast up to so many rows.
 BROADCAST_ROWS = 300_000
 PAD = 256
@@ -176,11 +178,12 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def fit(df: DataFrame, key: str, text: str, lang: str, training: Column, per_language: int = PER_LANGUAGE) -> Network:
+def fit(df: DataFrame, key: str, text: str, lang: str, training: Column, per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> Network:
     """A network from the rows for which training holds and language, key and text are not null.
 
     All languages of these rows are learned, each from the whole texts of at most per_language keys (of rows with one key and
-    language one is taken, that of least text), which is what reaches the driver. Without such rows, as for an empty table, the
+    language one is taken, that of least text) and, but for each language's first text, most_bytes in all languages together,
+    which is what reaches the driver. Without such rows, as for an empty table, the
     network knows none and all texts are UNKNOWN.
     """
     spark = df.sparkSession
@@ -192,8 +195,9 @@ def fit(df: DataFrame, key: str, text: str, lang: str, training: Column, per_lan
     order = F.xxhash64(F.col("k").cast("string"), F.lit("sample"))
     share = [(r["l"], min(1.0, (2 * per_language + 100) / r["n"])) for r in counts]
     under = spark.createDataFrame([(l, min((1 << 63) - 1, int((s - 0.5) * 2.0**64))) for l, s in share], T.StructType([T.StructField("l", rows.schema["l"].dataType), T.StructField("under", T.LongType())]))
-    passed = rows.select("k", "l", order.alias("h")).join(_few(under, len(counts)), "l").filter("h <= under").select("k", "l", "h").distinct()
-    picked = settled(passed.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).filter(F.col("place") <= per_language).select("k", "l"))
+    passed = rows.select("k", "l", order.alias("h"), F.octet_length("t").cast("long").alias("b")).join(_few(under, len(counts)), "l").filter("h <= under").groupBy("k", "l", "h").agg(F.max("b").alias("b"))
+    in_turn = Window.partitionBy("l").orderBy("h", "k")
+    picked = settled(passed.withColumns({"place": F.row_number().over(in_turn), "before": F.coalesce(F.sum("b").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).filter((F.col("place") <= per_language) & ((F.col("place") == 1) | (F.col("before") + F.col("b") <= most_bytes // len(counts)))).select("k", "l"))
     texts = rows.join(_few(picked, len(counts) * per_language), ["k", "l"]).groupBy("k", "l").agg(F.min("t").alias("t"))
     got = sorted((str(r["l"]), str(r["k"]), bytes(r["t"])) for r in texts.collect())  # at most per_language rows a language
     codes, row = spans(pa.array([t for _, _, t in got], pa.binary()))

@@ -11,8 +11,10 @@ cover. Runs whose region stands earlier too are repeats as a whole; this is foun
 and across pieces after it, in a sorted stream. Only the first runs of grams with several different regions go on to the
 passes over their bytes. Grams with over GROUP regions are sorted in parts, whose first windows meet in one more step.
 Grams that a sample shows to fill tasks, as those of a common line do, are dealt by region too, so that no task gets all runs
-of one; the sample decides only where rows go. Runs are equal by two hashes of 64 bits, of the gram and of the region: among
-10^12 different runs (about 35 TB) two with both equal are expected 10^-15 times.
+of one; the sample decides only where rows go. Regions, and the windows of grams sorted in parts, are equal by 64 bits of a
+cryptographic hash, within runs whose grams' hashes are equal: of n different runs of one gram n^2 / 2^65 pairs are expected
+to be taken for equal (3 * 10^-8 for a million runs, 0.03 for 10^9 of one gram); no texts that do so can be constructed
+without a search of 2^32 steps.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orthobox.llm._rows import Tables, mixed, pieces, prefix_hashes, raw, small_batches, span_hashes, text_bytes
+from orthobox.llm._rows import Tables, digests, mixed, pieces, prefix_hashes, raw, small_batches, text_bytes
 from orthobox.llm._shared import free_shuffles, settled
+from orthobox.shared import with_rank
 
 DEPTH = 100
 GRAM = 32
@@ -66,7 +69,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int, tables: T
     new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     s0, s1, a = start[first], start[np.concatenate([first[1:], [len(start)]]) - 1] if len(first) else first, at[first].astype(np.int64)
-    region = mixed(span_hashes(prefix, s0, s1 + depth, tables) + (a - s0).astype(np.uint64))
+    region = mixed(digests(data, s0, s1 + depth) + (a - s0).astype(np.uint64))
     return grams[a], region, row[s0].astype(np.int64), s0, s1, a
 
 
@@ -216,8 +219,6 @@ def radix_groups(data: np.ndarray, start: np.ndarray, label: np.ndarray, depth:
 def _sort_regions(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Regions by (gram, part): removed spans (kind 0), and of hot grams the first of each window (kind 1: a start, b and
     part a hash of the window)."""
-    tables = Tables()
-
     def done(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         gram, part, doc, run, hot = (table.column(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -241,7 +242,7 @@ def _sort_regions(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.
             left[alive[later]] = False
             left &= hot[of]
             x = np.flatnonzero(left)
-            h = span_hashes(prefix_hashes(data, tables), start[x], start[x] + depth, tables).view(np.int64)
+            h = digests(data, start[x], start[x] + depth).view(np.int64)
             out.append([np.ones(len(x), np.int64), doc[of[x]], gram[of[x]], h, s0[of[x]] + j[x], np.zeros(len(x), np.int64)])
         c = [np.concatenate(x) for x in zip(*out)]
         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.int64()) for x in c[1:])], names=["kind", "doc", "gram", "part", "a", "b"])
@@ -300,9 +301,8 @@ def _with_order(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
             rows = rows.withColumn("doc", F.col("key").cast("long"))
             return rows, rows.select("doc", "t")
     named = rows.withColumn("sha", F.sha2("t", 256))
-    order = named.select("key", "sha").distinct().orderBy(F.asc_nulls_last("key"), "sha")
-    schema = T.StructType([T.StructField("key2", df.schema[key].dataType), T.StructField("sha2", T.StringType()), T.StructField("doc", T.LongType())])
-    numbered = settled(df.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), schema))
+    order = named.select("key", "sha").distinct()
+    numbered = with_rank(order, [F.asc_nulls_last("key"), F.asc("sha")], "doc").select(F.col("key").alias("key2"), F.col("sha").alias("sha2"), "doc")
     rows = named.join(numbered, named["key"].eqNullSafe(numbered["key2"]) & (named["sha"] == numbered["sha2"])).select("key", "t", "doc")
     return rows, rows.select("doc", "t").dropDuplicates(["doc"])
 

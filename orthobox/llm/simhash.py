@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orthobox.llm._rows import map_texts
-from orthobox.llm._shared import settled
+from orthobox.llm._shared import join_dealt, settled
 from orthobox.llm.components import connected
 
 BUCKET = 20_000
+#: Rows of one fingerprint, and fingerprints of one component, from which they are dealt to several tasks.
+HOT = 1_000_000
 #: Cells of the sketch that estimates how many pairs a mask brings together.
 CELLS = 4096
 #: The cost of verifying one candidate pair, in units of dealing out one row.
@@ -49,12 +51,10 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [hashed(line[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[width - 1 :])]
 
 
-def fingerprints(texts: Sequence[bytes], width: int, distinct: bool = False) -> np.ndarray:
+def fingerprints(texts: Sequence[bytes], width: int) -> np.ndarray:
     """The 64-bit SimHash of each text: a bit is 1 where over half of the hashes have it; 0 for no words. Repeated shingles
-    count as often as they occur, or once."""
+    count as often as they occur."""
     hashes = [shingle_hashes(t, width) for t in texts]
-    if distinct:
-        hashes = [list(set(h)) for h in hashes]
     counts = np.array([len(h) for h in hashes], dtype=np.int64)
     out = np.zeros(len(texts), dtype=np.uint64)
     full = np.flatnonzero(counts)
@@ -194,44 +194,33 @@ def plan_masks(fps: DataFrame, tau: int) -> list[int]:
     return [x for bits, t in zip(best[1], best[2]) for x in masks_of(bits, t)]
 
 
-def _near(rows: np.ndarray, of: np.ndarray, taus: Sequence[int]) -> np.ndarray:
-    """Which rows (each row a column: its fingerprints, and last its id) are within all taus of others."""
-    out = np.bitwise_count(rows[0] ^ of[0]) <= taus[0]
-    for x, y, tau in zip(rows[1:], of[1:], taus[1:]):
-        out &= np.bitwise_count(x ^ y) <= tau
-    return out
-
-
-def _bucket_links(rows: np.ndarray, taus: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join each component of a bucket's rows: as many as its members less its components."""
-    left = rows
-    while left.shape[1] > 1:
-        front, left = [left[:, 0]], left[:, 1:]
-        while front and left.shape[1]:
+def _bucket_links(fps: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join each component of a bucket's fingerprints: as many as its members less its components."""
+    left = fps
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
             x = front.pop()
-            near = _near(left, x, taus)
+            near = np.bitwise_count(left ^ x) <= tau
             if near.any():
-                got, left = left[:, near], left[:, ~near]
-                yield np.repeat(x[-1], got.shape[1]), got[-1]
-                front += list(got.T)
+                got, left = left[near], left[~near]
+                yield np.full(len(got), x), got
+                front += list(got)
 
 
-def _links(batches: Iterator[pa.RecordBatch], taus: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    """Links of buckets that come in order of their key (mask, value); a bucket may go on over batches.
+def _links(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+    """Links of buckets that come in order of their key (mask, value); a bucket may go on over batches."""
+    key = fps = None
 
-    After the key come one fingerprint per tau and, if there are several, an id; a single one is its own.
-    """
-    key = rows = None
-
-    def done(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [rows.shape[1]]])
+        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fps)]])
         pairs = ends - starts == 2  # the commonest size, all at once
-        x, y = rows[:, starts[pairs]], rows[:, starts[pairs] + 1]
-        near = _near(x, y, taus)
-        a, b = [x[-1][near]], [y[-1][near]]
+        x, y = fps[starts[pairs]], fps[starts[pairs] + 1]
+        near = np.bitwise_count(x ^ y) <= tau
+        a, b = [x[near]], [y[near]]
         for s, e in zip(*(z[ends - starts > 2].tolist() for z in (starts, ends))):
-            for x, y in _bucket_links(rows[:, s:e], taus):
+            for x, y in _bucket_links(fps[s:e], tau):
                 a.append(x)
                 b.append(y)
         once = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
@@ -239,48 +228,43 @@ def _links(batches: Iterator[pa.RecordBatch], taus: Sequence[int]) -> Iterator[p
 
     for batch in batches:
         k = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
-        r = np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2, batch.num_columns)])
-        key, rows = (k, r) if key is None else (np.concatenate([key, k]), np.concatenate([rows, r], axis=1))
+        f = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+        key, fps = (k, f) if key is None else (np.concatenate([key, k]), np.concatenate([fps, f]))
         last = np.any(key != key[-1], axis=1) if len(key) else np.zeros(0, bool)
         cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
         if cut:
-            yield from done(key[:cut], rows[:, :cut])
-            key, rows = key[cut:], rows[:, cut:]
+            yield from done(key[:cut], fps[:cut])
+            key, fps = key[cut:], fps[cut:]
     if key is not None and len(key):
-        yield from done(key, rows)
-
+        yield from done(key, fps)
 
-def _under(rows: DataFrame, masks: Column, columns: Sequence[str]) -> DataFrame:
-    return rows.select(*columns, F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), *columns)
 
+def _under(rows: DataFrame, masks: Column) -> DataFrame:
+    return rows.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
 
-def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET, check: int | None = None) -> DataFrame:
-    """Links a, b that join all fingerprints (column fp, long, distinct) within tau bits of each other.
 
-    With check, rows have a second fingerprint (column check) that must be within `check` bits too, and a distinct id (long),
-    which the links name.
-    """
-    columns, taus = (["fp"], [tau]) if check is None else (["fp", "check", "id"], [tau, check])
+def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Links a, b that join all fingerprints (column fp, long, distinct) within tau bits of each other."""
     masks = plan_masks(fps, tau)
     spark = fps.sparkSession
     if not masks:
         return spark.createDataFrame([], "a long, b long")
-    rows = _under(fps, F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), columns)
+    rows = _under(fps, F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
     links = None
     while True:
         can_be_finer = F.lit(64) - F.bit_count("mask") > tau  # else members are within tau: they stay together, none left out
-        sizes = rows.filter(can_be_finer).groupBy("mask", "value").agg(F.count_distinct("fp").alias("n")).filter(F.col("n") > bucket)  # no mask parts rows of one fp
+        sizes = rows.filter(can_be_finer).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
         large = settled(sizes.select("mask", "value"))
         hot = large.count()
         own = rows.join(large, ["mask", "value"], "left_anti") if hot else rows
-        found = own.repartition("mask", "value").sortWithinPartitions("mask", "value", *columns).mapInArrow(lambda it: _links(it, taus), "a long, b long")
+        found = own.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(lambda it: _links(it, tau), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if not hot:
             return links
         finer = {_signed(m): _finer(m, tau) for m in (row["mask"] & ((1 << 64) - 1) for row in large.select("mask").distinct().collect())}  # one row per mask of the plan
         table = spark.createDataFrame([(m, [_signed(x) for x in f]) for m, f in finer.items()], "mask long, finer array<long>")
         again = rows.join(large, ["mask", "value"], "left_semi").join(F.broadcast(table), "mask")
-        rows = settled(_under(again.select(*columns, "finer").distinct(), F.col("finer"), columns).distinct())
+        rows = settled(_under(again.select("fp", "finer").distinct(), F.col("finer")).distinct())
 
 
 def _finer(mask: int, tau: int) -> list[int]:
@@ -289,7 +273,7 @@ def _finer(mask: int, tau: int) -> list[int]:
     return sorted({mask | sum(1 << b for b in hidden[i :: tau + 1]) for i in range(tau + 1)})
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int = 3, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """One row per input row: key, fp (long) and component_id, the least key of the row's component.
 
     Two rows are linked if their fingerprints differ in at most tau bits; components are closed under links. Equal
@@ -298,9 +282,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int
     of the hashes have is 0. No rows give no rows; other columns, whatever their names, are dropped.
     """
     docs = settled(fingerprint_texts(df, [key], text, width))
-    least = docs.groupBy("fp").agg(F.min(key).alias("least"))
+    least = settled(docs.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected(find_links(least.select("fp"), tau, bucket))
     labelled = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select(key, "fp", "component_id")
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    classes = join_dealt(labelled, smallest.drop("n"), "root", smallest, hot).select("fp", "component_id")
+    return join_dealt(docs, classes, "fp", least, hot).select(key, "fp", "component_id")

@@ -24,6 +24,8 @@ from orthobox.llm._rows import CHUNK_BYTES, LOWER, Tables, map_texts, mixed, pie
 
 WIDTH = 5
 SHARE = 1 / 4
+#: Groups of neighbouring rows, at most: their bounds pass through the driver. A group is read as a stream.
+GROUPS = 16_384
 #: Different shingles up to which a text keeps the hashes of all.
 WHOLE = 64
 
@@ -35,7 +37,7 @@ def shingles(texts: pa.Array, width: int, tables: Tables) -> tuple[np.ndarray, n
     starts, ends, row = words(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = span_hashes(prefix_hashes(data, tables), starts, ends, tables)
+    word = span_hashes(data, prefix_hashes(data, tables), starts, ends, tables)
     first = np.searchsorted(row, np.arange(len(texts)))
     count = np.bincount(row, minlength=len(texts))
     place = np.arange(len(row)) - first[row]
@@ -167,14 +169,12 @@ def deal_with_next(df: DataFrame, key: str, text: str, groups: int) -> DataFrame
     edges = np.array(tops)
 
     def place(keys: pd.Series) -> pd.Series:
-        return pd.Series((n - 1 - np.minimum(np.searchsorted(edges, keys.to_numpy()), n - 1)).astype(np.int32))
+        at = np.minimum(np.searchsorted(edges, keys.to_numpy()), n - 1)
+        top, own = edges[at] == keys.to_numpy(), n - 1 - at
+        return pd.Series([[g, (g - 1) % n] if t else [g] for g, t in zip(own.tolist(), top.tolist())])
 
-    group = F.when(F.col("key").isNull(), F.lit(n - 1)).otherwise(F.pandas_udf(place, "int")(F.coalesce("key", F.lit(tops[0]))))
-    heads = F.array(*[F.lit(x) for x in reversed(tops)])
-    placed = rows.withColumn("group", group)
-    top = F.element_at(heads, F.col("group") + 1)
-    copies = F.when(F.col("key") == top, F.array(F.struct(F.col("group").alias("g"), F.lit(0).alias("tail")), F.struct(F.pmod(F.col("group") - 1, F.lit(n)).alias("g"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("group").alias("g"), F.lit(0).alias("tail"))))
-    return placed.select(F.explode(copies).alias("c"), "key", "t").select(F.col("c.g").alias("group"), F.col("c.tail").alias("tail"), "key", "t")
+    groups_ = F.when(F.col("key").isNull(), F.array(F.lit(n - 1))).otherwise(F.pandas_udf(place, "array<int>")(F.coalesce("key", F.lit(tops[0]))))
+    return rows.select(F.posexplode(groups_).alias("tail", "group"), "key", "t").select("group", "tail", "key", "t")
 
 
 def edited(text: str, following: str) -> str:
@@ -194,7 +194,7 @@ def compare_with_next(df: DataFrame, key: str, text: str, width: int = WIDTH, sh
     """
     small_batches(df.sparkSession)
     parts = max(2, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = deal_with_next(df, key, text, 4 * parts).withColumn("h", F.xxhash64("t"))
+    dealt = deal_with_next(df, key, text, min(GROUPS, 4 * parts)).withColumn("h", F.xxhash64("t"))
     order = [F.asc("group"), F.asc("tail"), F.desc_nulls_last("key"), F.asc("h")]
     dealt = dealt.repartition(parts, "group").sortWithinPartitions(*order).select("group", "tail", "key", "t")
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next", "in_edited")]])

@@ -41,10 +41,10 @@ def features(texts: pa.Array, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     prefix = prefix_hashes(data, tables)
     starts, ends, row = words(np.where(_LETTERS[data], data, np.uint8(0x20)), offsets)
-    out, rows = [span_hashes(prefix, starts, ends, tables)], [row]
+    out, rows = [span_hashes(data, prefix, starts, ends, tables)], [row]
     for k in PREFIXES:
         long = ends - starts > k
-        out.append(mixed(span_hashes(prefix, starts[long], starts[long] + k, tables) + np.uint64(k)))
+        out.append(mixed(span_hashes(data, prefix, starts[long], starts[long] + k, tables) + np.uint64(k)))
         rows.append(row[long])
     return np.concatenate(out), np.concatenate(rows)
 
@@ -98,7 +98,7 @@ def _sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), key).limit(n)
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, training: Column, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, training: Column, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Model:
     """A model from the rows for which training holds, in both tables.
 
     Without training documents that are marked toxic it scores all texts near 0: so for empty tables and for labels of absent
@@ -144,7 +144,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
     p, u = F.col("p") / n_p, F.col("u") / max(n_u, 1)
     mean = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (p - u) / F.sqrt(mean * (1 - mean) * F.lit(1 / n_p + 1 / max(n_u, 1)) + F.lit(1e-12))
-    picked = counted.filter(f"p + u >= {LEAST_DOCUMENTS}").withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "h").limit(MAX_FEATURES).collect()
+    picked = counted.filter(f"p + u >= {LEAST_DOCUMENTS}").withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "h").limit(max_features).collect()
     hashes = np.sort(np.array([r["h"] for r in picked], dtype=np.int64).view(np.uint64))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, toxic: str
                 found = [np.zeros(0, np.int64)] * b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([x.astype("<u2").tobytes() for x in found], pa.binary())], names=["p", "at"])
 
-    got = rows.mapInArrow(held, "p int, at binary").collect()  # a row per chosen one, of at most MAX_FEATURES indices
+    got = rows.mapInArrow(held, "p int, at binary").collect()  # a row per chosen one, of at most max_features indices
     x = np.zeros((len(got), len(hashes)), dtype=np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(bytes(r["at"]), "<u2")] = 1

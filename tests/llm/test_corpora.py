@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -55,25 +56,6 @@ def test_links_join_all_within_tau(spark, bucket):
     assert len(set(zip(low, made))) == len(set(low)) == len(set(made))
 
 
-@pytest.mark.parametrize("same", [True, False])
-def test_links_with_check_of_one_fingerprint(spark, same):
-    r = random.Random(33)
-    fp, checks = r.getrandbits(64), [r.getrandbits(64) for _ in range(6)]
-    rows = set()
-    for c in checks:
-        for _ in range(12):
-            near = c
-            for b in r.sample(range(64), r.randint(0, 3)):
-                near ^= 1 << b
-            rows.add((fp if same else fp ^ r.choice([0, 1, 6, 7, 1 << 40]), near))
-    rows = sorted(rows)
-    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (rows[i][0] ^ rows[j][0]).bit_count() <= 3 and (rows[i][1] ^ rows[j][1]).bit_count() <= 8]
-    df = spark.createDataFrame([(simhash._signed(f), simhash._signed(c), i) for i, (f, c) in enumerate(rows)], "fp long, check long, id long")
-    roots = {x["node"]: x["root"] for x in connected(simhash.find_links(df, 3, bucket=4, check=8)).collect()}
-    low = classes(len(rows), links)
-    assert [roots.get(i, i) for i in range(len(rows))] == low
-
-
 def test_masks_cover():
     for parts, ts in (([range(16 * i, 16 * i + 16) for i in range(4)], [0, 0, 0, 0]), ([range(32), range(32, 64)], [1, 1]), ([range(21), range(21, 42), range(42, 64)], [1, 0, 0])):
         masks = [m for bits, t in zip(parts, ts) for m in simhash.masks_of(list(bits), t)]
@@ -122,16 +104,24 @@ def test_one_of_each_is_brute_force(spark, size):
             words = edited if r.random() < 0.3 else words
     ids = r.sample(range(10_000), len(rows))
     rows = sorted(zip(ids, rows))
-    texts = [t.encode() for _, t in rows]
-    one, three = simhash.fingerprints(texts, 1, True), simhash.fingerprints(texts, 3)
-    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (int(one[i]) ^ int(one[j])).bit_count() <= near_copies.TAU and (int(three[i]) ^ int(three[j])).bit_count() <= near_copies.CHECK]
-    low, sets = classes(len(rows), links), [set(simhash.shingle_hashes(t, 5)) for t in texts]
-    stay = []
-    for i in range(len(rows)):
-        if not any(low[i] == low[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in stay):
-            stay.append(i)
+    stay = brute_one_of_each(rows)
     got = near_copies.one_of_each(frame(spark, rows), "doc_id", "text", size=size).collect()
-    assert sorted(map(tuple, got)) == [rows[i] for i in stay]
+    assert sorted(map(tuple, got)) == stay
+
+
+def test_decisions_of_many_rounds_stay_fast(spark):
+    """A component of distinct documents, ten to a round: plans must not grow from round to round."""
+    sets = [np.sort(np.array([hash((i, j)) & (1 << 62) - 1 for j in range(20)], '<u8')) for i in range(200)]
+    members = spark.createDataFrame([(1, i, i * 7, bytearray(x.tobytes())) for i, x in enumerate([*sets, *sets[::3]])], 'root long, key_ long, hash_ long, shingles binary')
+    began = time.time()
+    assert sorted(r['key_'] for r in near_copies._decide(members, 0.8, 10, 1 << 20).collect()) == list(range(200))
+    assert time.time() - began < 180
+
+
+def test_a_hot_fingerprint_is_dealt_to_several_tasks(spark):
+    rows = [(i, 'the same words again and again' if i % 3 else f'word{i} other{i} third{i} fourth{i}') for i in range(300)]
+    plain, dealt = (sorted(map(tuple, simhash.near_duplicates(frame(spark, rows), 'doc_id', 'text', hot=h).collect())) for h in (1_000_000, 20))
+    assert plain == dealt and len({r[2] for r in plain}) > 50
 
 
 def brute_one_of_each(rows):

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orthobox.llm import language, registry, secrets, toxicity
+from orthobox.llm import kneser_ney, language, registry, secrets, sketch, toxicity
 from orthobox.llm._rows import Tables
 
 SF = "/root/testdata/sf0.01"
@@ -153,3 +153,39 @@ def test_random_bytes_of_text_do_not_break_hashes():
     h, row = toxicity.features(pa.array(texts, pa.binary()), Tables())
     alone = [set(toxicity.features(pa.array([t], pa.binary()), Tables())[0].tolist()) for t in texts]
     assert [set(h[row == i].tolist()) for i in range(50)] == alone
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_self_similar_words_differ(n):
+    """The Thue-Morse word and its complement are equal to every polynomial modulo 2 ** 64."""
+    word = bytes(97 + i.bit_count() % 2 for i in range(n))
+    other = bytes(195 - b for b in word)
+    tables = Tables()
+    texts = pa.array([word, other, word + b" " + other, other], pa.binary())
+    h, row = kneser_ney.tokens(texts, tables)
+    assert len(set(h.tolist())) == 3 and h[row == 0][0] != h[row == 1][0] and (h[row == 2][:2] == [h[row == 0][0], h[row == 1][0]]).all() and h[row == 3][0] == h[row == 1][0]
+    own, of = toxicity.features(texts, tables)
+    assert own[of == 0][0] != own[of == 1][0]
+    shingle, of = sketch.shingles(texts, 5, tables)
+    assert shingle[of == 0] != shingle[of == 1] and shingle[of == 1] == shingle[of == 3]
+
+
+def test_language_model_of_many_partitions(spark):
+    """Rows between tasks follow the input's splits, not their square; and merged runs are those of one go."""
+    texts = spark.createDataFrame([(i, f"a b c{i % 50} d{i % 7}") for i in range(4000)], "k long, t string")
+    one, many = (sorted(map(tuple, kneser_ney.score_texts(texts, ["k"], "t", kneser_ney.train(texts.repartition(p), "t")).collect())) for p in (1, 400))
+    assert one == many
+    runs = [np.unique(np.random.default_rng(i).integers(0, 1000, 300).astype(np.uint64), return_counts=True) for i in range(20)]
+    key, n = kneser_ney._merged(iter(runs))
+    want = np.bincount(np.concatenate([k for k, _ in runs]).astype(np.int64), weights=np.concatenate([c for _, c in runs]))
+    assert key.tolist() == np.flatnonzero(want).tolist() and n.tolist() == want[want > 0].astype(int).tolist()
+
+
+def test_training_bytes_are_bounded(spark, monkeypatch):
+    rows = [(i, "wort " * (20 + i) if i % 2 else "word " * (20 + i), "de" if i % 2 else "en") for i in range(60)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda codes, of, names: seen.append((len(codes), names)) or language.Network.fresh(names))
+    df = spark.createDataFrame(rows, "k long, t string, l string")
+    for most in (64 << 20, 2000, 1):
+        language.fit(df, "k", "t", "l", F.lit(True), most_bytes=most)
+    assert [n for _, n in seen] == [["de", "en"]] * 3 and seen[0][0] > seen[1][0] > seen[2][0] > 0
