@@ -26,6 +26,8 @@ SEED = 7
 BYTES_PER_BUCKET, LEAST_BITS, MOST_BITS = 64, 14, 26
 #: Bytes of text that a task handles at once; a longer text is handled in shares that end with a piece.
 PIECE_BYTES = 1 << 21
+#: Counts that a task gathers before it adds those of one phrase up.
+AT_ONCE = 1_000_000
 #: Buckets that travel together.
 BLOCK = 1 << 14
 _END, _BLANK = (np.zeros(256, bool) for _ in range(2))
@@ -188,17 +190,36 @@ def _rows(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[*_EMPTY])
 
 
+def _added(batches: Sequence[pa.RecordBatch | pa.Table]) -> pa.Table:
+    """The counts of all batches, one row per phrase."""
+    table = pa.concat_tables([(x if isinstance(x, pa.Table) else pa.Table.from_batches([x])).select(["lang", "phrase", "n"]) for x in batches])
+    return table.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
+def _pieces_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in table.to_batches(max_chunksize=100_000):
+        yield pa.RecordBatch.from_arrays([batch.column(k) if k in batch.schema.names else pa.nulls(batch.num_rows, kind) for k, kind in _EMPTY.items()], names=[*_EMPTY])
+
+
 def _count(texts: DataFrame, make) -> DataFrame:
+    piece_bytes, at_once = PIECE_BYTES, AT_ONCE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = make()
+        own, held, merged = make(), [], 0
         for batch in batches:
-            for piece in pieces(batch, 1, PIECE_BYTES):
+            for piece in pieces(batch, 1, piece_bytes):
                 texts, langs = as_bytes(piece.column(1)), piece.column(0).to_pylist()
-                if piece.num_rows > 1 or len(texts[0].as_py()) <= PIECE_BYTES:
-                    yield own.add(Words(texts, langs))
-                else:
-                    for part in shares(texts[0].as_py(), PIECE_BYTES):
-                        yield own.add(Words(pa.array([part], pa.binary()), langs))
+                parts = [texts] if piece.num_rows > 1 or len(texts[0].as_py()) <= piece_bytes else (pa.array([x], pa.binary()) for x in shares(texts[0].as_py(), piece_bytes))
+                for part in parts:
+                    held.append(own.add(Words(part, langs)))
+                    if sum(x.num_rows for x in held) - merged >= at_once:
+                        held = [_added(held)]
+                        merged = held[0].num_rows
+                        if merged >= at_once:
+                            yield from _pieces_of(held[0])
+                            held, merged = [], 0
+        if held:
+            yield from _pieces_of(_added(held))
         yield from own.summed()
 
     return settled(texts.mapInArrow(run, _COUNTED))

@@ -63,6 +63,7 @@ def test_equals_counting_everything(spark, bits):
 def test_a_long_text_in_shares(spark, monkeypatch):
     rows = [(0, " ".join(t for _, t, _ in texts(2, 400) if t), "en"), (1, "one two " * 3000, "en"), (2, None, "en")]
     monkeypatch.setattr(collocations, "PIECE_BYTES", 1000)
+    monkeypatch.setattr(collocations, "AT_ONCE", 300)
     assert b"".join(collocations.shares(rows[0][1].encode(), 1000)).decode() == rows[0][1]
     assert all(len(x) <= 1000 for x in collocations.shares(("ab cd." * 999).encode(), 1000))
     assert mined(spark, rows, support=30, top=50) == brute(rows, 30, 50)
