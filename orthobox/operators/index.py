@@ -60,20 +60,31 @@ def _placed(df: DataFrame, centre: Column, key: str) -> DataFrame:
     return ranked.join(few(first), "node_id").withColumn("place", F.col("_rank") - F.col("_first")).drop("_rank", "_first", "_centre")
 
 
+def _root(n: int, power: int) -> int:
+    """The least whole number whose power is n or more."""
+    root = max(1, int(round(n ** (1 / power))) - 1)
+    while root**power < n:
+        root += 1
+    return root
+
+
 def build_str(df: DataFrame, capacity: int, fanout: int | None = None, levels: int | None = None, key: str = "id") -> SpatialIndex:
     """Sort-tile: on each level every node is cut into `fanout` tiles of equal count along the next axis.
 
-    By default there are as many levels as axes (or more, for leaves of at most `capacity`), and the fanout that suffices.
+    By default the fanout is the least that suffices for leaves of at most `capacity`, on as many levels as axes, or on more
+    where it would otherwise exceed the capacity: no node has more children than that.
     """
     if capacity < 1:
         raise ValueError("capacity: 1 or more")
     d, n = axes(df), df.count()
     need = max(1, -(-n // capacity))
+    given = levels is not None
     levels = levels or d
     if fanout is None:
-        fanout = 1
-        while fanout**levels < need:
-            fanout += 1
+        fanout = _root(need, levels)
+        while fanout > max(2, capacity) and not given:
+            levels += 1
+            fanout = _root(need, levels)
     now = df.withColumn("node_id", F.lit("r"))
     for level in range(levels):
         placed = _placed(now, Box.of(d).centroid()[level % d], key)
@@ -114,12 +125,15 @@ def build_top_down(df: DataFrame, capacity: int, k: int, label: Callable[[DataFr
 def build_local(df: DataFrame, capacity: int, strategy: str, tile_rows: int = 4096, key: str = "id") -> SpatialIndex:
     """Trees by one-by-one insertion ("guttman" or "rstar"), one per spatial tile of at most tile_rows rows.
 
-    The tiles are those of a sort-tile index, whose nodes stand above the local trees.
+    The tiles are those of a sort-tile index with no more children a node than the capacity, which stands above the local trees.
     """
     from orthobox.operators.insertion import local_paths
 
-    d = axes(df)
-    tiles = build_str(df, tile_rows, key=key).entries
+    d, need = axes(df), max(1, -(-df.count() // tile_rows))
+    levels = d
+    while _root(need, levels) > max(2, capacity):
+        levels += 1
+    tiles = build_str(df, tile_rows, levels=levels, key=key).entries
     return from_paths(settled(local_paths(tiles, d, key, capacity, strategy)))
 
 
@@ -142,6 +156,7 @@ def violations(index: SpatialIndex, capacity: int | None = None, key: str = "id"
         "entries_twice": index.entries.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count(),
         "outside_parent": both.filter(F.col("c.parent_id").isNotNull() & (F.col("p.node_id").isNull() | ~inside)).count(),
         "loose_leaves": tight.filter(loose).count(),
+        "children_over_capacity": index.nodes.filter(~F.col("is_leaf") & (F.col("n_children") > max(2, capacity))).count() if capacity else 0,
         "over_capacity": index.leaves.filter(F.col("n_entries") > capacity).count() if capacity else 0,
     }
 

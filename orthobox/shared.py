@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,12 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the shared folder from then on.
 
-    A checkpoint inherits its plan's estimated size, which every join multiplies: in a loop the numbers get millions of digits
-    and planning takes minutes. The rows are therefore taken without it.
+    They are written as Parquet. A checkpoint would inherit its plan's estimated size, which every join multiplies: in a loop
+    the numbers get millions of digits and planning takes minutes. Partitioning and order are not kept.
     """
-    shared_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), df.sparkSession)
+    path = new_folder(df.sparkSession, "settled")
+    columns = [f"c{i}" for i in range(len(df.columns))]  # names that differ in case only are one to Parquet
+    df.toDF(*columns).write.parquet(path)
+    kinds = T.StructType([T.StructField(c, f.dataType) for c, f in zip(columns, df.schema.fields)])
+    return df.sparkSession.read.schema(kinds).parquet(path).toDF(*df.columns)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -53,13 +57,10 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = settled(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     own = (1 << 33) - 1  # the bits of a row's number within its partition
-    counts = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, first = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(first)
-        first += counts.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.shiftright("_at", 33).cast("int") + 1)
-    return placed.withColumn(name, offset + F.col("_at").bitwiseAND(F.lit(own))).drop("_at")
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")  # one row per partition
+    ranked = placed.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(before), "_p")
+    return ranked.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(own))).drop("_at", "_p", "_before")
 
 
 def tile(place: Column, n: Column, tiles: Column) -> Column:
