@@ -25,12 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once, written to the shared folder as Parquet and read from there from then on.
+    """The same rows, computed once and read from the shared folder from then on; for plans of a few steps. See stored()."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Unlike a checkpoint, the frame that is read has its files' size as estimate: a checkpoint inherits its plan's, which joins
-    multiply until, after a few rounds of a loop, planning takes minutes. Partitioning and order are not kept.
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, computed once, written to the shared folder as Parquet and read from there: for loops.
+
+    A checkpoint inherits its plan's estimated size, which joins multiply until, after a few rounds of a loop, planning takes
+    minutes; what is read here has its files' size. Partitioning and order are not kept.
     """
-    path = new_folder(df.sparkSession, "settled")
+    path = new_folder(df.sparkSession, "stored")
     columns = [f"c{i}" for i in range(len(df.columns))]  # names that differ in case only are one to Parquet
     df.toDF(*columns).write.parquet(path)
     return df.sparkSession.read.schema(T.StructType([T.StructField(c, f.dataType) for c, f in zip(columns, df.schema.fields)])).parquet(path).toDF(*df.columns)
@@ -39,7 +45,7 @@ def settled(df: DataFrame) -> DataFrame:
 def join_dealt(rows: DataFrame, table: DataFrame, on: str, sizes: DataFrame, most: int) -> DataFrame:
     """rows joined with the table, which has one row per key. Keys with over `most` rows (sizes: the key, n) are dealt to
     several tasks, their row of the table to each; there are at most rows / most of them."""
-    hot = settled(sizes.filter(F.col("n") > most).select(on, F.ceil(F.col("n") / most).cast("int").alias("shares_")))
+    hot = stored(sizes.filter(F.col("n") > most).select(on, F.ceil(F.col("n") / most).cast("int").alias("shares_")))
     if not hot.head(1):
         return rows.join(table, on)
     share = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("shares_").cast("long")).cast("int"), F.lit(0))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orthobox.llm._rows import LOWER, as_bytes, mixed, pieces, raw, small_batches, text_bytes
-from orthobox.llm._shared import settled
+from orthobox.llm._shared import stored
 
 SEED = 7
 #: Bytes of text per bucket, and bounds of the number of buckets (as powers of two): a bitmap takes 2 KB to 8 MB.
@@ -222,7 +222,7 @@ def _count(texts: DataFrame, make) -> DataFrame:
             yield from _pieces_of(_added(held))
         yield from own.summed()
 
-    return settled(texts.mapInArrow(run, _COUNTED))
+    return stored(texts.mapInArrow(run, _COUNTED))
 
 
 def _frequent_buckets(counted: DataFrame, bits: int, support: int) -> Bitmap:
@@ -324,7 +324,7 @@ def mine_phrases(df: DataFrame, text: str, lang: str, support: int = 30, longest
         sums = counted.filter("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
         if n == 1:
             totals = counted.filter("phrase is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-        frequent.append(settled(sums.filter(F.col("a") >= support)))
+        frequent.append(stored(sums.filter(F.col("a") >= support)))
         if n < longest:
             shorter, buckets = _members(frequent[-1], bits), _frequent_buckets(counted, bits, support)
     known = frequent[0]

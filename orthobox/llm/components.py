@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthobox.llm._shared import settled
+from orthobox.llm._shared import stored
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Nodes and links stay distributed. The number of rounds grows with the logarithm of a component's diameter.
     """
-    now = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while state[0]:
-        now = settled(_small_star(_large_star(now).distinct()).distinct())
+        now = stored(_small_star(_large_star(now).distinct()).distinct())
         state, before = _state(now), state
         if state == before:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthobox.llm._rows import free_name, small_batches
-from orthobox.llm._shared import settled
+from orthobox.llm._shared import stored
 
 #: Rows and bytes of a conversation that is solved whole, and of a segment of a longer one (a longer text is one by itself).
 ROWS, BYTES = 1024, 8 << 20
@@ -266,7 +266,7 @@ def repair(df: DataFrame, conv: str, turn: str, role: str, text: str, gone: Colu
     data = data.select("conv", "turn", "role", "text", fault.alias("fault"), "gone")
     own = F.octet_length("text").cast("long")
     sizes = data.groupBy("conv").agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("b"))
-    large = settled(sizes.filter((F.col("n") > rows) | ((F.col("b") > most_bytes) & (F.col("n") > 1))).select(F.col("conv").alias("large")))
+    large = stored(sizes.filter((F.col("n") > rows) | ((F.col("b") > most_bytes) & (F.col("n") > 1))).select(F.col("conv").alias("large")))
     some = bool(large.head(1))
     is_large = data["conv"].eqNullSafe(large["large"])
     small = data.join(large, is_large, "left_anti") if some else data
@@ -337,13 +337,13 @@ def _long(data: DataFrame, kind: str, rows: int, most_bytes: int) -> DataFrame:
 
     arrow, parts = to_arrow_type(data.schema["conv"].dataType), int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["conv", "turn", "role", "text"]
-    placed = settled(data.filter("not gone").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("gone"))
+    placed = stored(data.filter("not gone").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("gone"))
     sign = F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
     firsts = placed.groupBy("conv", sign.alias("sign")).agg(F.min("at").alias("first")).select("first")
     seen = placed.join(firsts, placed["at"] == firsts["first"], "left")
     seen = seen.select("conv", "at", "turn", "role", "text", F.when((F.col("fault") != 1) & F.col("first").isNull(), 2).otherwise(F.col("fault")).alias("fault"))
     cut = seen.repartitionByRange(parts, "at").sortWithinPartitions("at").mapInArrow(lambda it: _segments(it, rows, most_bytes), f"conv {kind}, {_SEGMENT}")
-    cut = settled(cut)
+    cut = stored(cut)
 
     def folded(df: DataFrame, step, schema: str, up: bool) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -361,7 +361,7 @@ def _long(data: DataFrame, kind: str, rows: int, most_bytes: int) -> DataFrame:
         return (conv, seg, end, after is None), _settle(before, False)
 
     behind = folded(cut.select("conv", "seg", "costs"), ends, f"conv {kind}, seg long, end array<long>, last boolean", False)
-    cut = settled(cut.drop("costs").join(behind.drop("conv"), "seg"))
+    cut = stored(cut.drop("costs").join(behind.drop("conv"), "seg"))
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

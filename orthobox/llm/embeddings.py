@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthobox.llm._rows import mixed
-from orthobox.llm._shared import settled
+from orthobox.llm._shared import stored
 from orthobox.llm.components import connected
 
 #: Vectors, or balls, among which balls are formed at once.
@@ -181,7 +181,7 @@ def _gathered(rows: DataFrame, n: int, most: float, shift: int) -> DataFrame:
     order = F.shiftleft("sign", shift).bitwiseOR(F.shiftrightunsigned("sign", 63 - shift)).bitwiseAND(F.lit((1 << 63) - 1))
     parts = min(max(1, math.ceil(n / CHUNK)), max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
     placed = rows.repartitionByRange(parts, "dim", order, "id").sortWithinPartitions("dim", order, "id")
-    return settled(placed.select("id", "pivot", "radius", "size", "dim").mapInArrow(lambda it: _balls(it, most), _BALL))
+    return stored(placed.select("id", "pivot", "radius", "size", "dim").mapInArrow(lambda it: _balls(it, most), _BALL))
 
 
 def _heads(balls: DataFrame) -> DataFrame:
@@ -300,31 +300,31 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
     spark, most = df.sparkSession, math.acos(threshold) / 2 - SLACK
     kind = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    rows = settled(narrow.mapInArrow(_read, f"key {kind}, {_CLASS}"))
+    rows = stored(narrow.mapInArrow(_read, f"key {kind}, {_CLASS}"))
     valid = rows.filter("digest is not null")
-    classes = settled(valid.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), F.first("dim").alias("dim")).withColumn("id", F.monotonically_increasing_id()))
+    classes = stored(valid.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), F.first("dim").alias("dim")).withColumn("id", F.monotonically_increasing_id()))
     n = classes.count()
 
     singles = classes.select("id", F.col("vec").alias("pivot"), F.lit(0.0).alias("radius"), F.lit(1).cast("long").alias("size"), "dim", F.lit(0).cast("long").alias("sign"))
     signed = singles.mapInArrow(_signed, "id long, pivot binary, radius double, size long, dim int, sign long")
     step = _gathered(signed, n, most, 0)
-    of, heads = step.select("id", "ball"), settled(_heads(step))
+    of, heads = step.select("id", "ball"), stored(_heads(step))
     before, now, turns = n, heads.count(), 0
     while now < 0.99 * before:
         turns += 1
         step = _gathered(heads, now, most, 13 * turns % 63)
         of = of.join(step.select(F.col("id").alias("ball"), F.col("ball").alias("next")), "ball").select("id", F.col("next").alias("ball"))
-        heads = settled(_heads(step))
+        heads = stored(_heads(step))
         before, now = now, heads.count()
-    members = settled(classes.select("id", "least", "copies").join(of, "id"))
+    members = stored(classes.select("id", "least", "copies").join(of, "id"))
 
     tables, bits = cells_for(n, threshold, cell)
     placed = classes.select("id", "vec", "dim").mapInArrow(lambda it: _in_cells(it, tables, bits), "id long, dim int, cells array<long>")
     in_cells = placed.join(members.select("id", "ball"), "id").select("dim", "ball", F.posexplode("cells").alias("t", "cell")).distinct()
     codes = heads.select(F.col("id").alias("ball"), "pivot", "radius", "dim").mapInArrow(_coded, _CODED)
-    in_cells = settled(in_cells.join(codes, "ball"))
+    in_cells = stored(in_cells.join(codes, "ball"))
     where = ["t", "cell", "dim"]
-    shares = settled(in_cells.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("shares")).filter("shares > 1"))
+    shares = stored(in_cells.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("shares")).filter("shares > 1"))
     mine = F.pmod(F.xxhash64("ball"), F.col("shares").cast("long")).cast("int")
     own = in_cells.join(shares, where, "left").withColumn("shares", F.coalesce("shares", F.lit(1))).withColumn("share", mine)
     tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumns({"i": F.least("share", "other"), "j": F.greatest("share", "other")}).drop("other", "shares")
@@ -332,8 +332,8 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
 
     pivots = heads.select("id", "pivot", "radius")
     ends = found.join(pivots.toDF("a", "p", "r"), "a").join(pivots.toDF("b", "q", "s"), "b")
-    decided = settled(ends.mapInArrow(lambda it: _decide(it, threshold), "a long, b long, sure boolean"))
-    weights = settled(members.groupBy("ball").agg(F.sum("copies").alias("weight"), F.count(F.lit(1)).alias("members"), F.min("least").alias("least")))
+    decided = stored(ends.mapInArrow(lambda it: _decide(it, threshold), "a long, b long, sure boolean"))
+    weights = stored(members.groupBy("ball").agg(F.sum("copies").alias("weight"), F.count(F.lit(1)).alias("members"), F.min("least").alias("least")))
     sure, open_ = decided.filter("sure"), decided.filter("sure is null").select("a", "b")
     both = sure.select("a", "b").unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(weights.select(F.col("ball").alias("b"), "weight"), "b").groupBy("a").agg(F.sum("weight").alias("linked")).withColumnRenamed("a", "ball")
@@ -343,9 +343,9 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95,
         asked = open_.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
         share = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block).cast("long"))
         of_asked = members.select("id", "ball", "copies").join(asked, "ball").join(weights.select("ball", "members"), "ball").withColumn("share", share)
-        blocks = settled(of_asked.join(classes.select("id", "vec"), "id").select("ball", "share", "id", "copies", "vec").groupBy("ball", "share").applyInArrow(_blocks, "ball long, ids array<long>, copies array<long>, vecs binary"))
+        blocks = stored(of_asked.join(classes.select("id", "vec"), "id").select("ball", "share", "id", "copies", "vec").groupBy("ball", "share").applyInArrow(_blocks, "ball long, ids array<long>, copies array<long>, vecs binary"))
         pairs = open_.join(blocks.toDF("a", "ids_a", "copies_a", "p"), "a").join(blocks.toDF("b", "ids_b", "copies_b", "q"), "b")
-        compared = settled(pairs.mapInArrow(lambda it: _compared(it, threshold), "id long, n long, a long, b long"))
+        compared = stored(pairs.mapInArrow(lambda it: _compared(it, threshold), "id long, n long, a long, b long"))
         exact = compared.groupBy("id").agg(F.sum("n").alias("exact"))
         links = links.unionByName(compared.filter("a is not null").select("a", "b"))
 

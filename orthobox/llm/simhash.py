@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orthobox.llm._rows import map_texts
-from orthobox.llm._shared import join_dealt, settled
+from orthobox.llm._shared import join_dealt, stored
 from orthobox.llm.components import connected
 
 BUCKET = 20_000
@@ -254,7 +254,7 @@ def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET) -> DataFrame:
     while True:
         can_be_finer = F.lit(64) - F.bit_count("mask") > tau  # else members are within tau: they stay together, none left out
         sizes = rows.filter(can_be_finer).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
-        large = settled(sizes.select("mask", "value"))
+        large = stored(sizes.select("mask", "value"))
         hot = large.count()
         own = rows.join(large, ["mask", "value"], "left_anti") if hot else rows
         found = own.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(lambda it: _links(it, tau), "a long, b long")
@@ -264,7 +264,7 @@ def find_links(fps: DataFrame, tau: int = 3, bucket: int = BUCKET) -> DataFrame:
         finer = {_signed(m): _finer(m, tau) for m in (row["mask"] & ((1 << 64) - 1) for row in large.select("mask").distinct().collect())}  # one row per mask of the plan
         table = spark.createDataFrame([(m, [_signed(x) for x in f]) for m, f in finer.items()], "mask long, finer array<long>")
         again = rows.join(large, ["mask", "value"], "left_semi").join(F.broadcast(table), "mask")
-        rows = settled(_under(again.select("fp", "finer").distinct(), F.col("finer")).distinct())
+        rows = stored(_under(again.select("fp", "finer").distinct(), F.col("finer")).distinct())
 
 
 def _finer(mask: int, tau: int) -> list[int]:
@@ -281,8 +281,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int
     where a component has no other. Empty and null texts have fingerprint 0, and so are linked to each other. A bit that half
     of the hashes have is 0. No rows give no rows; other columns, whatever their names, are dropped.
     """
-    docs = settled(fingerprint_texts(df, [key], text, width))
-    least = settled(docs.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+    docs = stored(fingerprint_texts(df, [key], text, width))
+    least = stored(docs.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected(find_links(least.select("fp"), tau, bucket))
     labelled = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
