@@ -248,28 +248,3 @@ def ultrametric_pairs(solved: DataFrame, group: str = "node", key: str = "id") -
     differ = F.transform(F.arrays_zip("p", "q"), lambda x: ~x["p"].eqNullSafe(x["q"]))
     first = F.array_position(differ, True)
     return met.select(F.col("_g").alias(group), "a", "b", F.when(first > 0, first - 1).otherwise(0).cast("int").alias("depth"))
-
-
-def enumerate_cost(lo: np.ndarray, hi: np.ndarray, capacity: int, **objective) -> float:
-    """The same least cost by trying every partition at every level: for checking small sets."""
-
-    def parts(items: list[int]) -> Iterator[list[list[int]]]:
-        if not items:
-            yield []
-            return
-        for rest in parts(items[1:]):
-            yield [[items[0]], *rest]
-            for i in range(len(rest)):
-                yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
-
-    def best(items: list[int]) -> float:
-        if len(items) <= capacity:
-            return 0.0
-        out = np.inf
-        for groups in parts(items):
-            if 2 <= len(groups) <= capacity:
-                w = weights(lo, hi, np.array([lo[g].min(0) for g in groups]), np.array([hi[g].max(0) for g in groups]), **objective)
-                out = min(out, float(w.sum()) + sum(best(g) for g in groups))
-        return out
-
-    return best(list(range(len(lo))))

@@ -167,7 +167,9 @@ def quadratic_split(tree: Tree, node: Node) -> tuple[list[int], list[int]]:
         sizes = [float(_area(*box[g])) for g in (0, 1)]
         gain = np.array([_area(np.minimum(lo[left], box[g][0]), np.maximum(hi[left], box[g][1])) - sizes[g] for g in (0, 1)])
         at = int(np.argmax(np.abs(gain[0] - gain[1])))
-        g = min((0, 1), key=lambda g: (gain[g][at], sizes[g], len(groups[g]), g))
+        tied = _least(gain[:, at])
+        tied = tied if len(tied) == 1 else _least(np.array(sizes))
+        g = int(min(tied.tolist(), key=lambda g: (len(groups[g]), g)))
         i = left.pop(at)
         groups[g].append(i)
         box[g] = [np.minimum(box[g][0], lo[i]), np.maximum(box[g][1], hi[i])]

@@ -497,7 +497,33 @@ def sample_windows(spark, sf_dir):
     return network.sample_windows(ranked, starts).select("sample_id", "id")
 
 
-@_register()
+def _u(name: str, of: str = "qid") -> str:
+    """The generators' number in [0, 1)."""
+    return f"(cast('0x' || substr(md5('42/{name}/' || {of}), 1, 13) as bigint) / 4503599627370496.0)"
+
+
+def _around(name: str, f: str, clip: bool = False) -> str:
+    """Boxes of one size factor around uniform centres, possibly cut to the extent."""
+    side = [f"a{i} + {_u(f'centre{i}')} * (b{i} - a{i}) {s} f * (b{i} - a{i}) / 2" for s in "-+" for i in (0, 1)]
+    side = [f"{g}({x}, {c})" if clip else x for x, g, c in zip(side, ("greatest", "greatest", "least", "least"), ("a0", "a1", "b0", "b1"))]
+    return f"select '{name}' workload, qid, {', '.join(f'round({x}, 6) {c}' for x, c in zip(side, _Q))} from (select *, {f} f from i, x)"
+
+
+def _fitted(name: str, half: tuple[str, str]) -> str:
+    """Boxes around uniform centres, moved into the extent."""
+    centre = [f"greatest(a{i} + {h}, least(b{i} - {h}, a{i} + {_u(f'centre{i}')} * (b{i} - a{i})))" for i, h in enumerate(half)]
+    side = [f"greatest(a{i}, {centre[i]} - {half[i]})" for i in (0, 1)] + [f"least(b{i}, {centre[i]} + {half[i]})" for i in (0, 1)]
+    return f"select '{name}' workload, qid, {', '.join(f'round({x}, 6) {c}' for x, c in zip(side, _Q))} from (select *, w / 2 h0, t * w / 2 h1 from (select *, sqrt(0.01 * (b0 - a0) * (b1 - a1) / t) w from (select *, 0.5 + {_u('aspect')} * 1.5 t from i, x)))"
+
+
+_Q = ("qmin_0", "qmin_1", "qmax_0", "qmax_1")
+_POINT = [f"round(a{i} + {_u(f'point{i}')} * (b{i} - a{i}), 6)" for i in (0, 1)]
+
+
+@_register(f"""with x as (select min(min_0) a0, max(max_0) b0, min(min_1) a1, max(max_1) b1 from {ORDER_POINTS}), i as (select unnest(range(1000)) qid)
+  {_around('random', f"0.01 + {_u('size')} * {0.2 - 0.01!r}")} union all {_around('small', f"0.001 + {_u('size')} * {0.01 - 0.001!r}", True)}
+  union all select 'points', qid, {_POINT[0]}, {_POINT[1]}, {_POINT[0]}, {_POINT[1]} from i, x
+  union all {_fitted('relative', ('h0', 'h1'))} union all {_fitted('fixed', ('12.5', '12.5'))}""")
 def workloads(spark, sf_dir):
     """Windows and points of every generator, for one seed."""
     points = order_points(spark, sf_dir)
@@ -506,12 +532,13 @@ def workloads(spark, sf_dir):
     for name, df in boxes.items():
         rows = df.select(F.lit(name).alias("workload"), "qid", "qmin_0", "qmin_1", "qmax_0", "qmax_1")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return _rounded(out)
 
 
-@_register()
+@_register(f"select o_orderkey id, {', '.join(f'{_u(f'axis{i}', 'o_orderkey')} {s}_{i}' for i in range(8) for s in ('min', 'max'))} from orders")
 def synthetic_points(spark, sf_dir):
-    return workload.synthetic_points(spark, 10_000, 8)
+    """A uniform point on eight axes for each order."""
+    return workload.synthetic_points(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), 8)
 
 
 @_register(f"select user_id, {_MBR} from {EVENT_POINTS} group by user_id")

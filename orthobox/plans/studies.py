@@ -123,16 +123,16 @@ def parts_study(points: DataFrame, dataset: str, parts: Sequence[int] = (2, 3, 4
     return _union(out)
 
 
-def axes_study(spark: SparkSession, dimensions: Sequence[int] = (2, 8, 20, 50, 100), rows: int = 20_000, capacity: int = 512, parts: int = 2, n: int = 10_000, seed: int = 42, **options) -> DataFrame:
-    """Learned trees over uniform points on each number of axes: build and query times, nodes tested."""
-    out = []
+def axes_study(vectors: DataFrame, dataset: str, dimensions: Sequence[int] = (2, 8, 20, 50, 100), capacity: int = 512, parts: int = 2, n: int = 10_000, seed: int = 42, **options) -> DataFrame:
+    """Learned trees over vectors (id, v) on each number of their first axes: build and query times, nodes tested."""
+    spark, out = vectors.sparkSession, []
     for d in dimensions:
-        points = settled(workload.synthetic_points(spark, rows, d, seed))
+        points = settled(vectors.select("id", *Box.point([F.element_at("v", i + 1) for i in range(d)]).named()))
         windows = settled(workload.random_ranges(points, n, seed=seed))
         tree, built = _timed(lambda: build(points, "learned", capacity, parts=parts, **options))
         found, seconds = _timed(lambda: query.indexed_range_join(windows, tree.nodes, tree.entries).count())
         tested = metrics.node_accesses(windows, tree.nodes).agg(F.avg("nodes_tested")).first()[0]
-        out.append(_row(spark, {"build_seconds": built, "seconds": seconds, "seconds_per_query": seconds / n, "n_results": found, "nodes_tested": tested}, f"uniform_{d}", "learned", capacity, "random", d))
+        out.append(_row(spark, {"build_seconds": built, "seconds": seconds, "seconds_per_query": seconds / n, "n_results": found, "nodes_tested": tested}, dataset, "learned", capacity, "random", d))
     return _union(out)
 
 
@@ -173,12 +173,13 @@ def study_widths(spark, sf_dir):
 
 @_register()
 def study_parts(spark, sf_dir):
-    return parts_study(settled(order_points(spark, sf_dir)), "orders", (2, 3), 2048, n=1000)
+    return parts_study(settled(order_points(spark, sf_dir)), "orders", (2, 3, 4), 512, n=1000)
 
 
 @_register()
 def study_axes(spark, sf_dir):
-    return axes_study(spark, (2, 8), rows=2000, capacity=512, n=200)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return axes_study(vectors, "embeddings", (2, 8, 20), capacity=64, n=200)
 
 
 def _share_windows(spark, sf_dir):
@@ -406,10 +407,10 @@ def workload_rules(spark, sf_dir):
     return _union([df.agg(F.count(F.lit(1)).alias("n"), F.min(inside).alias("inside"), F.min(sized).alias("sized")).select(F.lit(name).alias("workload"), "*") for name, (df, inside, sized) in made.items()])
 
 
-@_register("select i axis, 10000::bigint n, true proper, true spread from (select unnest([0, 1, 2, 3, 4, 5, 6, 7]) i)")
+@_register("select i axis, (select count(*) from orders) n, true proper, true spread from (select unnest([0, 1, 2, 3, 4, 5, 6, 7]) i)")
 def synthetic_rules(spark, sf_dir):
     """Uniform points: on each axis between 0 and 1, without extent, and about half below the middle."""
-    df = workload.synthetic_points(spark, 10_000, 8)
+    df = settled(QUERIES["synthetic_points"](spark, sf_dir))
     return _union([df.agg(F.count(F.lit(1)).alias("n"), F.min((F.col(f"min_{i}") >= 0) & (F.col(f"max_{i}") < 1) & (F.col(f"min_{i}") == F.col(f"max_{i}"))).alias("proper"), (F.abs(F.avg((F.col(f"min_{i}") < 0.5).cast("int")) - 0.5) < 0.03).alias("spread")).select(F.lit(i).alias("axis"), "*") for i in range(8)])
 
 

@@ -52,8 +52,13 @@ CUSTOMER_BOXES = f"(select cust id, min(min_0) min_0, min(min_1) min_1, max(max_
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point per event: hours since 2024 by value."""
+    return event_rows(table(spark, sf_dir, "events"))
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """The same of events that come from elsewhere, as from a stream."""
     x = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3.6e9
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), *Box.point([x, F.col("value")]).named(), "user_id")
+    return events.select(F.col("event_id").alias("id"), *Box.point([x, F.col("value")]).named(), "user_id")
 
 
 EVENT_POINTS = """(select event_id id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9 min_0, value min_1,

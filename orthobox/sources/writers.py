@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthobox.functions.boxes import axes
@@ -18,10 +18,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def export_tables(index: SpatialIndex, tree_id: int = 1, key: str = "id") -> dict[str, DataFrame]:
-    """The index as three tables for a database: tree, tree_node (box, level, parent, leaf) and tree_entry (box, node)."""
+def polygon(d: int, srid: int | None = None) -> Column:
+    """A box on two axes as the text of a closed ring, counter-clockwise from its lower corner; with an srid in front of it."""
+    if d != 2:
+        raise ValueError("polygons need two axes")
+    corners = [("min_0", "min_1"), ("max_0", "min_1"), ("max_0", "max_1"), ("min_0", "max_1"), ("min_0", "min_1")]
+    ring = F.concat_ws(", ", *[F.concat_ws(" ", *[F.col(c).cast("double").cast("string") for c in corner]) for corner in corners])
+    return F.concat(F.lit("" if srid is None else f"SRID={srid};"), F.lit("POLYGON(("), ring, F.lit("))"))
+
+
+def export_tables(index: SpatialIndex, tree_id: int = 1, key: str = "id", srid: int | None = None) -> dict[str, DataFrame]:
+    """The index as three tables for a database: tree, tree_node (box, level, parent, leaf) and tree_entry (box, node).
+
+    With an srid (two axes) a box is one column, bbox, as create_tables_sql makes it; else its corners are columns.
+    """
     d = axes(index.nodes)
-    box = [c for i in range(d) for c in (f"min_{i}", f"max_{i}")]
+    box = [c for i in range(d) for c in (f"min_{i}", f"max_{i}")] if srid is None else [polygon(d, srid).alias("bbox")]
     tree = index.nodes.sparkSession.createDataFrame([(tree_id,)], "id int")
     nodes = index.nodes.select(F.lit(tree_id).alias("tree_id"), F.col("node_id").alias("id"), "level", "parent_id", F.col("is_leaf").alias("leaf"), *box)
     entries = index.entries.select(F.lit(tree_id).alias("tree_id"), F.col("node_id").alias("parent_node_id"), F.col(key).alias("data"), *box)
@@ -34,9 +46,11 @@ def save_index(index: SpatialIndex, path: str, tree_id: int = 1, key: str = "id"
         df.write.parquet(f"{path}/{name}")
 
 
-def save_jdbc(index: SpatialIndex, url: str, properties: dict, schema: str = "public", tree_id: int = 1, key: str = "id", mode: str = "append") -> None:
-    """The tables into a database over JDBC; the driver's jar has to be on Spark's class path."""
-    for name, df in export_tables(index, tree_id, key).items():
+def save_jdbc(index: SpatialIndex, url: str, properties: dict, schema: str = "public", tree_id: int = 1, key: str = "id", mode: str = "append", srid: int | None = None) -> None:
+    """The tables into a database over JDBC; the driver's jar has to be on Spark's class path. With an srid boxes travel as
+    text, which the database is left to read as polygons."""
+    properties = properties if srid is None else {"stringtype": "unspecified", **properties}
+    for name, df in export_tables(index, tree_id, key, srid).items():
         df.write.jdbc(url, f"{schema}.{name}", mode=mode, properties=properties)
 
 
@@ -72,14 +86,15 @@ def diagram(index: SpatialIndex) -> DataFrame:
 
 
 def plot(index: SpatialIndex, path: str, most: int = 100_000) -> None:
-    """Leaf entries and node boxes of a two-axis index as a picture; needs matplotlib. At most `most` entries are drawn."""
+    """Leaf entries and node boxes of a two-axis index as a picture; needs matplotlib. At most `most` of each are drawn, nodes
+    from the root down."""
     try:
         from matplotlib import pyplot
         from matplotlib.patches import Rectangle
     except ImportError as e:
         raise RuntimeError("plot needs matplotlib") from e
     figure, ax = pyplot.subplots()
-    for df, colour in ((index.entries.limit(most), "tab:blue"), (index.nodes, "tab:red")):
+    for df, colour in ((index.entries.limit(most), "tab:blue"), (index.nodes.orderBy("level", "node_id").limit(most), "tab:red")):
         for r in df.select("min_0", "min_1", "max_0", "max_1").toLocalIterator():
             ax.add_patch(Rectangle((r[0], r[1]), r[2] - r[0], r[3] - r[1], fill=False, edgecolor=colour))
     ax.autoscale_view()
