@@ -155,6 +155,8 @@ def encode_texts(df: DataFrame, keep: Sequence[str], text: str, tokenizer: str,
     texts count as empty: no ids. Special tokens' strings in a text are encoded as those tokens. tokenizer is a file that
     executors can open. Of adjacent pairs with equal ranks the leftmost merges first. Repeated rows get the same result each, an
     empty table gives no rows. Where a kept column has one of the names, that of the result gets underscores.
+
+    A long text is encoded whole, by a task that handles it alone.
     """
     outputs = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     outputs += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("decoded", T.StringType())] * decoded

@@ -204,6 +204,8 @@ def find_contamination(documents: DataFrame, key: str, text: str, items: DataFra
     window is hit. Null and wordless texts have no words and no hits; an empty item table hits nothing, and no documents give
     no rows; repeated rows get the same result each. Hits are found once for equal texts. Of grams with equal hashes the
     leftmost is kept. Other columns, whatever their names, are dropped.
+
+    A long text is searched whole, as one array of its words.
     """
     rows, hit, size = _hits(documents, key, text, items, item_key, item_text, span, gram)
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))

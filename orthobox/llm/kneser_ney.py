@@ -421,6 +421,8 @@ def score_texts(df: DataFrame, keep: Sequence[str], text: str, model: Model) ->
 
     A null or empty text has one token, its end. Without training text every probability is 1. Repeated rows get the same
     result each, an empty table gives no rows. Where a kept column has one of the names, that of the result gets underscores.
+
+    A long text is scored whole, by a task that handles it alone.
     """
     outputs = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "perplexity")]
 

@@ -212,6 +212,8 @@ def label_texts(df: DataFrame, keep: Sequence[str], text: str, net: Network) ->
 
     Of languages with equal probability the first by name is taken; repeated rows get the same result each, and an empty table
     gives no rows. Where a kept column has one of the names, that of the result gets underscores at its end.
+
+    A long text is read whole, in spans of 64 bytes.
     """
 
     def make() -> Callable:

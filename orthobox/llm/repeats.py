@@ -358,6 +358,8 @@ def remove_repeats(df: DataFrame, key: str, text: str, depth: int = DEPTH, gram:
     in the same one. Windows are those of the input and never cross documents. Null texts count as empty. Null keys come
     last; rows with equal keys are ordered by their texts' SHA-256, and repeated rows (equal key and text) are one document,
     with one result. Other columns, whatever their names, are dropped; an empty table gives no rows.
+
+    A long text is cut whole, by a task that handles it alone and holds some 60 times its bytes.
     """
     docs, once = _with_order(df, key, text)
     spans = repeated_spans(once, depth, gram, group).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

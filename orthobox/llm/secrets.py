@@ -174,6 +174,8 @@ def scan_texts(df: DataFrame, keep: Sequence[str], text: str, allowed: Sequence[
     ends exclusive. clean_text has the spans replaced by the mark. Null texts count as empty; empty texts have no spans, an
     empty table gives no rows, and repeated rows get the same result each. Where a kept column has one of the names above,
     that of the result gets underscores at its end.
+
+    A long text is scanned whole, in time that grows with its length; ties (spans of one start) go by kind.
     """
     outputs = [T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex", "n_entropy")] + [T.StructField(c, T.StringType()) for c in ("base_sha256", "spans")]
     outputs += [T.StructField("clean_text", T.StringType())] * (mark is not None)

@@ -41,6 +41,8 @@ def shard_records(df: DataFrame, key: str, text: str, weights: Sequence[float],
 
     Slots need no task that sees a whole shard: rows are dealt by (shard, chunk), a chunk being a hash of the row, and the
     rows before each chunk come from a table of counts with at most shards x chunks rows, which is what gets broadcast.
+
+    A long text only counts by its size; its bytes stay where they are.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.col(key).alias("key"), (F.octet_length(content) + 8).cast("long").alias("size"), F.crc32(content).cast("long").alias("text_crc32"))

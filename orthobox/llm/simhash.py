@@ -280,6 +280,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, tau: int
     fingerprints are handled once, so copies cost no pairs. Null keys do not count for component_id, which is null only
     where a component has no other. Empty and null texts have fingerprint 0, and so are linked to each other. A bit that half
     of the hashes have is 0. No rows give no rows; other columns, whatever their names, are dropped.
+
+    A long text is fingerprinted whole, by a task that handles it alone.
     """
     docs = stored(fingerprint_texts(df, [key], text, width))
     least = stored(docs.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))

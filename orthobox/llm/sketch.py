@@ -191,6 +191,8 @@ def compare_with_next(df: DataFrame, key: str, text: str, width: int = WIDTH, sh
     Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint (sketches in hex), near_edited, near_next
     (Jaccard estimates) and in_edited (containment of the text in its edited form, null where it is unknown). Null texts count as empty, null keys
     come last, rows of one key follow each other in their texts' hash order; a single row is its own next.
+
+    A long text is sketched whole, by a task that handles it alone. Ties of keys are stated above.
     """
     small_batches(df.sparkSession)
     parts = max(2, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

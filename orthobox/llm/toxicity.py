@@ -173,6 +173,8 @@ def score_texts(df: DataFrame, keep: Sequence[str], text: str, model: Model, nam
     """The kept columns and, under the given name, the score, 0 to 1, of every whole text; null texts count as empty.
 
     Repeated rows get the same score each, an empty table gives none. If a kept column has the name, underscores are added.
+
+    A long text is scored whole, by a task that handles it alone.
     """
 
     def make():
