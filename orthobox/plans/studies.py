@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthobox.functions.boxes import Box, axes
-from orthobox.operators import dp, index, metrics, network, query, workload
+from orthobox.operators import dp, index, metrics, network, packing, query, workload
 from orthobox.plans.catalogue import CAPACITY, LO, HI, PARTS, QUERIES, _HIT, _register, _round, _rounded, _runs, _runs_sql, str_sql, top_down_sql
 from orthobox.plans.tables import ORDER_BOXES, ORDER_POINTS, PART_WINDOWS, customer_boxes, order_boxes, order_points, part_windows, table
 from orthobox.shared import few, new_folder, settled, with_rank
@@ -20,7 +20,7 @@ from orthobox.sources import writers
 
 SHARES = (0.001, 0.01, 0.1, 0.5)
 WIDTHS = (1.0, 2.0, 4.0, 8.0, 16.0)
-STRATEGIES = ("str", "topdown", "guttman", "rstar", "learned", "learned_knn")
+STRATEGIES = ("str", "topdown", "guttman", "rstar", "learned", "learned_knn", "packed", "hilbert", "priority", "greedy")
 
 
 def build(points: DataFrame, strategy: str, capacity: int, parts: int = PARTS, samples: int = 100, epochs: int = 5) -> index.SpatialIndex:
@@ -29,6 +29,10 @@ def build(points: DataFrame, strategy: str, capacity: int, parts: int = PARTS, s
         return index.build_str(points, capacity)
     if strategy == "topdown":
         return index.build_top_down(points, capacity, parts)
+    if strategy in ("packed", "hilbert", "priority"):
+        return packing.build_packed(points, capacity, {"packed": packing.tiles, "hilbert": packing.curve, "priority": packing.extremes}[strategy])
+    if strategy == "greedy":
+        return packing.build_greedy(points, capacity)
     if strategy in ("guttman", "rstar"):
         return index.build_local(points, capacity, strategy)
     if strategy not in STRATEGIES:
