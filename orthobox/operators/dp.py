@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from orthobox.functions.boxes import Box, axes
+from orthobox.functions.boxes import Box, axes, mbr
+from orthobox.operators.workload import uniform
 
 #: Sets above this size are refused: the program takes 3 ** n steps.
 MOST = 12
@@ -54,6 +56,28 @@ def hit_probability(df: DataFrame, group: str = "node", key: str = "id") -> Data
     return counted.groupBy(group, key).agg(F.product(share).alias("probability"))
 
 
+def sample_points(df: DataFrame, samples: int, seed: int = 42, group: str = "node") -> DataFrame:
+    """group, sample, q_i: so many uniform points in the extent of every group's rows."""
+    d = axes(df)
+    at = df.groupBy(group).agg(*mbr(Box.of(d))).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    at = at.withColumn("of_", F.concat_ws("/", F.col(group).cast("string"), F.col("sample").cast("string")))
+    coords = [(F.col(f"min_{i}") + uniform(seed, f"sample{i}", "of_") * (F.col(f"max_{i}") - F.col(f"min_{i}"))).alias(f"q_{i}") for i in range(d)]
+    return at.select(group, "sample", *coords)
+
+
+def knn_weight(df: DataFrame, k: int = 1, samples: int = 100, seed: int = 42, group: str = "node", key: str = "id") -> DataFrame:
+    """group, id, weight: the share of the group's sample points from which the row's box is no farther than the k-th nearest
+    (the farthest, if there are fewer). Points meet their own group's rows only, by one join; groups should be small."""
+    d = axes(df)
+    points = sample_points(df, samples, seed, group).withColumnRenamed(group, "g_")
+    met = points.join(df.select(group, key, *Box.of(d).named()), F.col("g_") == F.col(group))
+    far = met.select(group, key, "sample", Box.of(d).min_dist_sq([F.col(f"q_{i}") for i in range(d)]).alias("far_"))
+    own = Window.partitionBy(group, "sample")
+    placed = far.withColumns({"place_": F.row_number().over(own.orderBy("far_", key)), "n_": F.count(F.lit(1)).over(own)})
+    reach = F.max(F.when(F.col("place_") == F.least(F.lit(k), F.col("n_")), F.col("far_"))).over(own)
+    return placed.withColumn("reach_", reach).groupBy(group, key).agg(F.avg((F.col("far_") <= F.col("reach_") + 1e-9).cast("int")).alias("weight"))
+
+
 def range_weights(lo: np.ndarray, hi: np.ndarray, mlo: np.ndarray, mhi: np.ndarray) -> np.ndarray:
     """The hit probability of boxes mlo, mhi (group, d) under the workload of the set lo, hi (n, d)."""
     out = np.ones(len(mlo))
