@@ -1,6 +1,7 @@
 """Headers, raw points, shapefiles, exports and streams."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orthobox.functions.boxes import Box
 from orthobox.operators import index, metrics
-from orthobox.sources import readers, writers
+from orthobox.sources import readers, shapes, writers
 from orthobox.streaming import boxes as streaming
 
 
@@ -91,3 +92,40 @@ def test_streams(spark, tmp_path):
     hits = streaming.standing_queries(stream, windows).writeStream.outputMode("append").format("memory").queryName("hits").trigger(availableNow=True).start()
     hits.awaitTermination()
     assert sorted(r["id"] for r in spark.table("hits").collect()) == [3, 4, 5]
+
+
+def test_one_shapefile_in_several_tasks(spark, tmp_path):
+    r = random.Random(3)
+    records, index, at = [], [], 100
+    for i in range(500):
+        x, y = r.uniform(-5, 5), r.uniform(-5, 5)
+        shape = r.choice([struct.pack("<idd", 1, x, y), struct.pack("<i", 0), struct.pack("<idddd", 5, x, y, x + 1, y + 2) + bytes(r.randint(0, 60) * 2)])
+        records.append(struct.pack(">ii", i + 1, len(shape) // 2) + shape)
+        index.append(struct.pack(">ii", at // 2, len(shape) // 2))
+        at += len(records[-1])
+    (tmp_path / "a.shp").write_bytes(bytes(100) + b"".join(records))
+    (tmp_path / "a.shx").write_bytes(bytes(100) + b"".join(index))
+    (tmp_path / "b.shp").write_bytes(bytes(100) + b"".join(records[:7]))
+    spark.dataSource.register(shapes.Shapes)
+    whole = readers.read_shapefiles(spark, f"file://{tmp_path}").drop("file")
+    some = spark.read.format("shapes").option("part_bytes", "2000").load(f"file://{tmp_path}")
+    assert some.rdd.getNumPartitions() > 5
+    assert sorted(map(tuple, some.drop("file").collect())) == sorted(map(tuple, whole.collect()))
+    inside = spark.read.format("shapes").option("part_bytes", "2000").option("window", "0,0,2,2").load(f"file://{tmp_path}").drop("file")
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, whole.filter(Box.of(2).intersects(Box.at((0, 0), (2, 2)))).collect()))
+
+
+def test_an_index_kept_by_a_stream(spark, tmp_path):
+    """Files that arrive one by one, a batch that is repeated, and the answers and rules of a whole build."""
+    r, path = random.Random(4), f"file://{tmp_path}/index"
+    rows = [(i, x, y, x + i % 3, y + i % 2) for i in range(80) for x, y in [(float(r.randint(0, 40)), float(r.randint(0, 40)))]]
+    schema = "id long, min_0 double, min_1 double, max_0 double, max_1 double"
+    keep = streaming.indexed(path, 8)
+    batches = [spark.createDataFrame(rows[a:b], schema) for a, b in ((0, 60), (60, 80))]
+    for n, batch in enumerate(batches):
+        keep(batch, n)
+    keep(batches[1], 1)
+    tree = streaming.read_indexed(spark, path)
+    assert not any(index.violations(tree, 8).values())
+    assert sorted(map(tuple, tree.entries.select("id", "min_0", "min_1", "max_0", "max_1").collect())) == rows
+    assert streaming.read_indexed(spark, path, before=1).entries.count() == 60
