@@ -273,12 +273,12 @@ def knn_nodes(spark, sf_dir):
     return metrics.knn_nodes(at, query.knn_join(at, tree.nodes, tree.entries, 3), tree.nodes, 3)
 
 
-_RULES = "(select unnest(['roots', 'entries_twice', 'outside_parent', 'loose_leaves', 'over_capacity', 'lost']) as rule)"
+_RULES = "(select unnest(['roots', 'entries_twice', 'outside_parent', 'loose_leaves', 'children_over_capacity', 'over_capacity', 'lost']) as rule)"
 
 
 def _rules(spark, sf_dir, strategy: str, capacity: int = CAPACITY) -> DataFrame:
     """How often a build breaks a rule of an index: one root, every entry once, boxes inside their parents', tight leaves, no
-    leaf over capacity, no entry lost."""
+    leaf and no node over capacity, no entry lost."""
     points = settled(order_points(spark, sf_dir))
     tree = build(points, strategy, capacity)
     tree = index.SpatialIndex(settled(tree.nodes), settled(tree.entries))
