@@ -238,4 +238,4 @@ def test_shards(spark, odd):
 
 
 def test_registered(spark):
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in registry.queries()}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in registry.queries()}
