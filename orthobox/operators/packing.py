@@ -75,7 +75,8 @@ def hilbert_key(box: Box, extent: Box, bits: int | None = None) -> Column:
 
     start = F.struct(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("was"))
     # A bit of the curve is the parity of all bits read so far.
-    return F.aggregate(read, start, lambda s, step: _next(s, bit(turned, step)), lambda s: s["key"])
+    once = F.transform(F.array(turned), lambda x: F.aggregate(read, start, lambda s, step: _next(s, bit(x, step)), lambda s: s["key"]))
+    return F.element_at(once, 1)
 
 
 def _shifted(how: str, x: Column, bits: Column) -> Column:
