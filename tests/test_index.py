@@ -118,3 +118,33 @@ def test_hot_cells_lose_no_pair(spark, points, monkeypatch):
     a, b = around.collect(), many.collect()
     want = sorted((q["qid"], p["id"]) for q in a for p in b if all(p[f"max_{i}"] > q[f"qmin_{i}"] and p[f"min_{i}"] < q[f"qmax_{i}"] for i in range(5)))
     assert sorted(map(tuple, query.range_join(around, many).collect())) == want
+
+
+def test_two_levels_are_the_sql_of_many_rows(spark):
+    """More rows than the cube of the capacity, for which build_str by itself takes a third level."""
+    import duckdb
+
+    from orthobox.plans import catalogue
+
+    r = random.Random(5)
+    rows = [(i, float(r.randint(0, 9)), float(r.randint(0, 9))) for i in range(60)]
+    boxes = spark.createDataFrame([(i, x, y, x + 1, y + 1) for i, x, y in rows], "id long, min_0 double, min_1 double, max_0 double, max_1 double")
+    known = boxes.toPandas()  # noqa: F841 (read by the SQL)
+    expected = set(duckdb.sql(f"{catalogue.str_sql('known', 2)} select id, node_id from e").fetchall())
+    assert {(x["id"], x["node_id"]) for x in catalogue.two_levels(boxes, 2).entries.collect()} == expected
+
+
+def test_quadratic_split_takes_the_seeds_of_pick_seeds(spark):
+    """Wastes that differ by less than 1e-9 are ties for both rules."""
+    import numpy as np
+
+    from orthobox.operators import splits
+    from orthobox.operators.insertion import Node, Tree, least_enlargement, quadratic_split
+
+    x = [(0.0, 0.0), (0.1 + 0.2, 0.7), (0.3, 0.7), (0.0, 0.0), (0.3, 0.7 + 1e-16)]
+    lo = np.array([*x, (0.3 + 1e-13, 0.7)])
+    tree = Tree(lo, lo, max(2, len(lo) - 1), least_enlargement, quadratic_split)
+    one, two = quadratic_split(tree, Node(True, list(range(len(lo)))))
+    boxes = spark.createDataFrame([("n", i, float(a), float(b), float(a), float(b)) for i, (a, b) in enumerate(lo)], "node string, id long, min_0 double, min_1 double, max_0 double, max_1 double")
+    seeds = splits.pick_seeds(boxes).first()
+    assert {one[0], two[0]} == {seeds["a"], seeds["b"]}
