@@ -102,3 +102,27 @@ def test_axes_are_read_from_names(spark):
 def test_sibling_pairs(spark):
     df = boxes(spark, [(0, 0, 2, 2), (1, 1, 3, 3), (9, 9, 10, 10)]).withColumn("g", F.lit(1))
     assert [tuple(r) for r in query.sibling_pairs(df, "g").collect()] == [(1, 0, 1, 1.0)]
+
+
+def test_counts_in_runs_of_windows(spark, monkeypatch):
+    """More different windows than are counted at once, equal ones, and windows without corners: no pair is made."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from orthobox.operators import query
+
+    r = random.Random(3)
+    windows = [(i, *(float(r.randint(0, 9)) for _ in range(2))) for i in range(40)]
+    windows = [(i, x, y, x + 2, y + 1) for i, x, y in windows] + [(100, 1.0, 1.0, 5.0, 5.0), (101, 1.0, 1.0, 5.0, 5.0), (102, None, 1.0, 5.0, 5.0)]
+    q = spark.createDataFrame(windows, "qid long, qmin_0 double, qmin_1 double, qmax_0 double, qmax_1 double")
+    boxes = [(i, float(r.randint(0, 9)), float(r.randint(0, 9)), i % 7) for i in range(60)]
+    b = spark.createDataFrame([(i, x, y, x + 1, y + 2, w) for i, x, y, w in boxes], "id long, min_0 double, min_1 double, max_0 double, max_1 double, w long")
+    monkeypatch.setattr(query, "COUNTED", 7)
+    monkeypatch.setattr(query, "range_join", None)
+    got = {x["qid"]: x["n_results"] for x in query.range_join_counts(q, b).collect()}
+    sums = {x["qid"]: x["w"] for x in query.range_join_sums(q, b, ["w"]).collect()}
+    for i, x, y, x2, y2 in windows:
+        met = [w for _, a, c, w in boxes if x is not None and a + 1 > x and a < x2 and c + 2 > y and c < y2]
+        assert got[i] == len(met) and sums[i] == sum(met), i
+    assert query.range_join_sums(q, b.limit(0), ["w"]).agg(F.sum("w")).first()[0] == 0
