@@ -135,3 +135,22 @@ def test_insertion_keeps_nodes_tight(strategy):
         else:
             todo += [(c, depth + 1) for c in node.rows]
     assert sorted(seen) == list(range(300)) and len(depths) == 1
+
+
+def test_subsets_of_many_sets_are_weighed_at_once():
+    """Sets of one size share each step, and weigh what they weigh alone, equal coordinates and flat axes included."""
+    import numpy as np
+
+    from orthobox.operators import dp
+
+    r = np.random.default_rng(4)
+    lo = r.integers(0, 4, (20, 5, 2)).astype(float)
+    lo[3, :, 1] = 2.0
+    hi = lo + r.integers(0, 3, (20, 5, 2))
+    hi[3, :, 1] = 2.0
+    got = dp._weights_by_subset(lo, hi)
+    for i in range(20):
+        for s in range(1, 32):
+            own = [k for k in range(5) if s >> k & 1]
+            alone = dp.range_weights(lo[i], hi[i], lo[i, own].min(0)[None], hi[i, own].max(0)[None])[0]
+            assert got[i, s] == alone, (i, s)
