@@ -154,3 +154,13 @@ def test_subsets_of_many_sets_are_weighed_at_once():
             own = [k for k in range(5) if s >> k & 1]
             alone = dp.range_weights(lo[i], hi[i], lo[i, own].min(0)[None], hi[i, own].max(0)[None])[0]
             assert got[i, s] == alone, (i, s)
+
+
+def test_groups_are_shuffled_once(spark):
+    """Neither a group's sample points nor its coordinates are shuffled, only its rows."""
+    from orthobox.operators import dp
+
+    rows = spark.createDataFrame([(i // 4, i, float(i % 5), float(i % 3), i % 5 + 1.0, i % 3 + 2.0) for i in range(40)], "node long, id long, min_0 double, min_1 double, max_0 double, max_1 double")
+    for df in (dp.knn_weight(rows, 2, 10), dp.hit_probability(rows)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        assert df.count() == 40
