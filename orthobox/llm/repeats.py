@@ -9,7 +9,8 @@ leftmost of equals. Equal windows have equal anchors at equal offsets. Neighbour
 row per run of such windows is shuffled, about one for 35 bytes, with a hash of the run's region, all the bytes its windows
 cover. Runs whose region stands earlier too are repeats as a whole; this is found within a task's piece before the shuffle
 and across pieces after it, in a sorted stream. Only the first runs of grams with several different regions go on to the
-passes over their bytes. Grams with over GROUP regions are sorted in parts, whose first windows meet in one more step.
+passes over their bytes. Of grams with over GROUP regions the windows are dealt out once more, in BANDS bands by the bytes that
+all windows of a band have; only bands with too many regions still are sorted in parts, whose first windows meet in one more step.
 Grams that a sample shows to fill tasks, as those of a common line do, are dealt by region too, so that no task gets all runs
 of one; the sample decides only where rows go. Regions, and the windows of grams sorted in parts, are equal by 64 bits of a
 cryptographic hash, within runs whose grams' hashes are equal: of n different runs of one gram n^2 / 2^65 pairs are expected
@@ -37,6 +38,8 @@ from orthobox.shared import with_rank
 DEPTH = 100
 GRAM = 32
 GROUP = 2048
+#: Bands of the windows around a hot gram: an eighth of a run's windows, so groups of bands may have as many times the rows.
+BANDS = 8
 #: A gram is hot if one row of so many, by a sample of 1 / SAMPLE of the documents, has it: its runs are dealt to several tasks.
 SAMPLE = 64
 LEAST_HOT = 16
@@ -317,6 +320,28 @@ def _hot_grams(docs: DataFrame, depth: int, gram: int, partitions: int, least: i
     return counts.filter(F.col("n") >= most).select("gram", F.greatest(F.lit(2), F.least(F.lit(4 * partitions), F.ceil(F.col("n") * 2 / most))).cast("long").alias("shares"))
 
 
+def _banded(runs: DataFrame, depth: int, gram: int) -> DataFrame:
+    """gram, part, doc, run, hot, bytes: the regions of runs doc, t, r (gram, part, a, hot), those of hot grams in bands.
+
+    The windows of a band start within a few bytes of each other, as seen from the anchor. So all of them hold the same bytes
+    around it, most of a window, and these are the next digit: a hash of them is the band's part. Equal windows are in bands of
+    one part.
+    """
+    top = depth - gram
+    width = top // BANDS + 1
+    first, lo, hi = F.shiftright("r.a", 24), F.shiftright("r.a", 12).bitwiseAND(F.lit(0xFFF)), F.col("r.a").bitwiseAND(F.lit(0xFFF))
+    number = F.when(F.col("r.hot"), F.sequence(F.floor((lo - hi) / width), F.floor(lo / width))).otherwise(F.array(F.lit(-1).cast("long")))
+    of = runs.select("doc", "t", "r.gram", "r.part", "r.hot", (first + lo).alias("at"), (lo - hi).alias("least"), lo.alias("most"), F.explode(number).alias("band"))
+    from_, to = F.col("band") * width, F.least(F.col("band") * width + (width - 1), F.lit(top))
+    least = F.when(F.col("hot"), F.greatest("least", from_)).otherwise(F.col("least"))
+    most = F.when(F.col("hot"), F.least("most", to)).otherwise(F.col("most"))
+    cut = of.withColumns({"least": least, "most": most})
+    inner = F.substring("t", (F.col("at") - from_ + 1).cast("int"), (from_ + depth - to).cast("int"))
+    run = F.shiftleft(F.col("at") - F.col("most"), 24).bitwiseOR(F.shiftleft("most", 12)).bitwiseOR(F.col("most") - F.col("least"))
+    whole = F.substring("t", (F.col("at") - F.col("most") + 1).cast("int"), (F.col("most") - F.col("least") + depth).cast("int"))
+    return cut.select("gram", F.when(F.col("hot"), F.xxhash64("band", inner)).otherwise(F.col("part")).alias("part"), "doc", run.alias("run"), "hot", whole.alias("bytes"))
+
+
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group: int = GROUP, least_hot: int = LEAST_HOT) -> DataFrame:
     """doc, a, b: spans whose union, in each document, are its bytes that a window covers which also starts earlier.
 
@@ -338,8 +363,13 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group:
     hot = several.filter("part > 0").select("gram").distinct().withColumn("hot", F.lit(True))  # at most one gram for `group` rows
     wanted = several.join(hot, "gram", "left").select("doc", "gram", "part", "a", F.coalesce("hot", F.lit(False)).alias("hot"))
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "a", "hot")).alias("runs"))  # fewer than a document's bytes
-    lo, hi = F.shiftright(F.col("r.a"), 24), F.col("r.a").bitwiseAND(F.lit(0xFFF))
-    regions = docs.select("doc", "t").join(per_doc, "doc").select("doc", "t", F.explode("runs").alias("r")).select("r.gram", "r.part", "doc", F.col("r.a").alias("run"), "r.hot", F.substring("t", (lo + 1).cast("int"), (hi + depth).cast("int")).alias("bytes"))
+    regions = settled(_banded(docs.select("doc", "t").join(per_doc, "doc").select("doc", "t", F.explode("runs").alias("r")), depth, gram))
+    free_shuffles(docs.sparkSession)
+    most = BANDS * group
+    large = regions.filter("hot").groupBy("gram", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("gram", "part", F.ceil(F.col("n") / most).alias("shares"))
+    shared = regions.drop("hot").join(F.broadcast(large), ["gram", "part"], "left")  # at most one group for `most` rows
+    own = F.when(F.col("shares").isNull(), F.col("part")).otherwise(F.xxhash64("part", F.pmod(F.xxhash64("doc", "run"), "shares")))
+    regions = shared.select("gram", own.alias("part"), "doc", "run", F.col("shares").isNotNull().alias("hot"), "bytes")
     regions = regions.repartition(partitions, "gram", "part").sortWithinPartitions("gram", "part")
     finer = settled(regions.mapInArrow(lambda it: _sort_regions(it, depth), _FOUND))
     free_shuffles(docs.sparkSession)

@@ -191,6 +191,21 @@ def test_repeats_are_brute_force(spark, monkeypatch, depth, gram, group, least):
     assert got == expected
 
 
+def test_windows_around_a_common_line_are_no_rows(spark, monkeypatch):
+    """Different windows that share a hot gram are dealt in bands; none crosses to a further step by itself."""
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    own, made = repeats.settled, []
+    monkeypatch.setattr(repeats, "settled", lambda df: made.append(own(df)) or made[-1])
+    r = random.Random(8)
+    line = "".join(r.choice("abcdefgh ") for _ in range(50))
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(90)) + line + "".join(r.choice("abcdefgh ") for _ in range(90))) for i in range(80)]
+    rows += [(100, rows[3][1][40:200]), (101, rows[5][1][60:170])]
+    expected = brute_repeats([(k, t.encode()) for k, t in rows], 100)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in repeats.remove_repeats(frame(spark, rows), "doc_id", "text", 100, 32, 4).collect()}
+    assert got == expected and expected[100][1] == 160
+    assert made[-1].filter("kind = 1").count() == 0
+
+
 def test_repeats_of_odd_keys(spark):
     long = "0123456789" * 3
     rows = [(1, long), (1, long), (1, "z" + long), (None, long), (None, None)]
