@@ -148,3 +148,20 @@ def test_quadratic_split_takes_the_seeds_of_pick_seeds(spark):
     boxes = spark.createDataFrame([("n", i, float(a), float(b), float(a), float(b)) for i, (a, b) in enumerate(lo)], "node string, id long, min_0 double, min_1 double, max_0 double, max_1 double")
     seeds = splits.pick_seeds(boxes).first()
     assert {one[0], two[0]} == {seeds["a"], seeds["b"]}
+
+
+def test_top_down_parts_bounded_nodes_alone(spark, monkeypatch):
+    """The leaves are the same whether Spark parts every level or a task parts a node down to its leaves."""
+    rows = [(i, float(i * 7919 % 101), float(i * 104729 % 37)) for i in range(700)]
+    df = spark.createDataFrame([(i, x, x, y, y) for i, x, y in rows], "id long, min_0 double, max_0 double, min_1 double, max_1 double")
+    net = network.Network(9, 8, (3,))
+    calls, own = [], index._placed
+    monkeypatch.setattr(index, "_placed", lambda *a: calls.append(1) or own(*a))
+    for label in (None, network.labeller(net, 2, 3)):
+        made = []
+        for whole in (1, 300, 10_000):
+            calls.clear()
+            entries = index.build_top_down(df, 20, 3, label, whole=whole).entries
+            made.append((sorted((r["id"], r["node_id"]) for r in entries.collect()), len(calls)))
+        assert made[0][0] == made[1][0] == made[2][0]
+        assert made[0][1] > made[1][1] > made[2][1] == 0
