@@ -80,6 +80,26 @@ def test_priority_leaves_hold_extremes(spark):
     assert {rows[i]["group"] for _, i in first} == {"p.a0"}
 
 
+@pytest.mark.parametrize("n, capacity, whole", [(150, 4, 40), (25, 5, 1), (3, 5, 1)])
+def test_large_sets_are_parted_as_small_ones(spark, n, capacity, whole):
+    rows = boxes(spark, 8, n, side=90)
+    one, two = ({r["id"]: r["group"] for r in packing.extremes(rows, capacity, whole=w).collect()} for w in (whole, 10**6))
+    assert one == two and len(one) == n
+
+
+def test_packing_writes_rows_a_few_times(spark, monkeypatch):
+    written, settled = [], packing.settled
+
+    def counted(df):
+        out = settled(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(packing, "settled", counted)
+    rows = boxes(spark, 8, 600)
+    assert len({r["group"] for r in packing.extremes(rows, 4).collect()}) > 100 and sum(written) <= 3 * 600
+
+
 def test_batches(spark, tmp_path):
     capacity, path = 8, str(tmp_path / "leaves")
     tree, every = index.build_str(boxes(spark, 5, 90), capacity), boxes(spark, 5, 90)
