@@ -85,6 +85,10 @@ def test_large_sets_are_parted_as_small_ones(spark, n, capacity, whole):
     rows = boxes(spark, 8, n, side=90)
     one, two = ({r["id"]: r["group"] for r in packing.extremes(rows, capacity, whole=w).collect()} for w in (whole, 10**6))
     assert one == two and len(one) == n
+    trees = [packing.build_greedy(rows, capacity, whole=w) for w in (whole, 10**6)]
+    one, two = ({r["id"]: r["node_id"] for r in t.entries.collect()} for t in trees)
+    assert one == two and len(one) == n
+    assert not any(index.violations(trees[0], capacity).values())
 
 
 def test_packing_writes_rows_a_few_times(spark, monkeypatch):
@@ -98,6 +102,8 @@ def test_packing_writes_rows_a_few_times(spark, monkeypatch):
     monkeypatch.setattr(packing, "settled", counted)
     rows = boxes(spark, 8, 600)
     assert len({r["group"] for r in packing.extremes(rows, 4).collect()}) > 100 and sum(written) <= 3 * 600
+    written.clear()
+    assert packing.build_greedy(rows, 4).entries.count() == 600 and sum(written) <= 3 * 600
 
 
 def test_batches(spark, tmp_path):
