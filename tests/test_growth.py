@@ -57,3 +57,16 @@ def test_deep_trees_are_searched_in_one_join(spark):
     for q in range(3):
         opened = [n for n in nodes if all(n[f"max_{i}"] > qlo[q, i] and n[f"min_{i}"] < qhi[q, i] for i in range(3))]
         assert access[q] == (1 + sum(n["n_children"] for n in opened if not n["is_leaf"]), len(opened))
+
+
+def test_large_learned_nodes_are_labelled_without_joins_or_ranks(spark, monkeypatch):
+    """Only nodes of one label are ranked; the tree is that of nodes parted in tasks."""
+    from orthobox.operators import network
+
+    x = np.random.default_rng(5).random((400, 2))
+    net = next(n for n in (network.Network(9, 8, (3,), seed=s) for s in range(99)) if len(set(network.labeller(n, 2, 3).local(x, x).tolist())) > 1)
+    points, label, ranked, placed = _frame(spark, x, x), network.labeller(net, 2, 3), [], index._placed
+    monkeypatch.setattr(index, "_placed", lambda rows, *of: ranked.extend(r["node_id"] for r in rows.select("node_id").distinct().collect()) or placed(rows, *of))
+    leaves = {r["id"]: r["node_id"] for r in index.build_top_down(points, 150, 3, label, whole=150).entries.collect()}
+    assert "r" not in ranked, "a node of several labels was ranked"
+    assert leaves == {r["id"]: r["node_id"] for r in index.build_top_down(points, 150, 3, label).entries.collect()}
