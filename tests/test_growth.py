@@ -70,3 +70,15 @@ def test_large_learned_nodes_are_labelled_without_joins_or_ranks(spark, monkeypa
     leaves = {r["id"]: r["node_id"] for r in index.build_top_down(points, 150, 3, label, whole=150).entries.collect()}
     assert "r" not in ranked, "a node of several labels was ranked"
     assert leaves == {r["id"]: r["node_id"] for r in index.build_top_down(points, 150, 3, label).entries.collect()}
+
+
+def test_knn_join_deals_points_of_one_leaf_and_keeps_k(spark, monkeypatch):
+    """Many points at one leaf, equal points, equal entries (ties by id)."""
+    monkeypatch.setattr(query, "TOGETHER", 3)
+    r = np.random.default_rng(7)
+    x, q = r.integers(0, 6, (40, 2)).astype(float), np.vstack([r.integers(50, 60, (9, 2)), r.integers(0, 6, (3, 2)), [[55, 55], [55, 55]]]).astype(float)
+    tree = index.build_str(_frame(spark, x, x), 8)
+    at = spark.createDataFrame([(i, *p) for i, p in enumerate(q.tolist())], "qid long, q_0 double, q_1 double")
+    got = sorted((n["qid"], n["rank"], n["id"], n["dist_sq"]) for n in query.knn_join(at, tree.nodes, tree.entries, 3).collect())
+    dist = ((q[:, None] - x[None]) ** 2).sum(2)
+    assert got == [(i, k + 1, int(j), dist[i, j]) for i in range(len(q)) for k, j in enumerate(np.argsort(dist[i], kind="stable")[:3])]
