@@ -18,6 +18,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """The number to so many digits as SQL engines in binary arithmetic do it: scaled, rounded, scaled back. F.round goes by the
+    decimal digits that are printed, which differs where the scaled number falls short of a half: 65.0255 is 65.025 here."""
+    scale = F.lit(10.0**digits)
+    return F.round(c * scale) / scale
+
+
 def polygon(d: int, srid: int | None = None) -> Column:
     """A box on two axes as the text of a closed ring, counter-clockwise from its lower corner; with an srid in front of it."""
     if d != 2:
@@ -78,7 +85,7 @@ def drop_tables_sql(schema: str = "public") -> list[str]:
 def diagram(index: SpatialIndex) -> DataFrame:
     """line, n: a DOT graph of the nodes, one record each, and the links to their children."""
     d = axes(index.nodes)
-    box = F.concat_ws(", ", *[F.format_string("[%s, %s]", F.round(f"min_{i}", 3).cast("string"), F.round(f"max_{i}", 3).cast("string")) for i in range(d)])
+    box = F.concat_ws(", ", *[F.format_string("[%s, %s]", rounded(F.col(f"min_{i}"), 3).cast("string"), rounded(F.col(f"max_{i}"), 3).cast("string")) for i in range(d)])
     nodes = index.nodes.select(F.concat(F.lit('  "'), "node_id", F.lit('" [shape=record, label="{'), "node_id", F.lit("|"), box, F.lit('}"];')).alias("line"), F.lit(1).alias("n"))
     links = index.nodes.filter("parent_id is not null").select(F.concat(F.lit('  "'), "parent_id", F.lit('" -> "'), "node_id", F.lit('";')).alias("line"), F.lit(2).alias("n"))
     ends = index.nodes.sparkSession.createDataFrame([("digraph {", 0), ("}", 3)], "line string, n int")
