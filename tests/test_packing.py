@@ -140,3 +140,17 @@ def test_walk(spark):
     seen = query.walk(tree.nodes, {"depth": F.lit(0), "way": F.col("node_id")}, {"depth": F.col("up_depth") + 1, "way": F.concat("up_way", F.lit(">"), F.col("node_id"))}, F.col("depth") < 3).collect()
     assert {r["node_id"] for r in seen} == {r["node_id"] for r in tree.nodes.filter("level < 3").collect()}
     assert all(r["way"].split(">")[-1] == r["node_id"] and len(r["way"].split(">")) == r["level"] + 1 for r in seen)
+
+
+@pytest.mark.parametrize("whole", [1, 10**6])
+def test_priority_leaves_of_a_few_rounds_are_their_sql(spark, whole):
+    """Sets that the last round leaves over the capacity are a group each."""
+    import duckdb
+
+    from orthobox.plans import packed
+
+    rows = boxes(spark, 8, 150, side=90)
+    known = rows.toPandas()  # noqa: F841 (read by the SQL)
+    expected = set(duckdb.sql(packed.priority_sql("known", 3, 2)).fetchall())
+    got = {(r["id"], r["group"]) for r in packing.extremes(rows, 3, whole=whole, rounds=2).collect()}
+    assert got == expected and len({g for _, g in got}) < 150 / 3
