@@ -165,3 +165,36 @@ def test_top_down_parts_bounded_nodes_alone(spark, monkeypatch):
             made.append((sorted((r["id"], r["node_id"]) for r in entries.collect()), len(calls)))
         assert made[0][0] == made[1][0] == made[2][0]
         assert made[0][1] > made[1][1] > made[2][1] == 0
+
+
+@pytest.mark.parametrize("whole", [1, 10**6])
+def test_top_down_to_a_few_levels_is_its_sql(spark, whole):
+    """Nodes on the last level are leaves, whatever their size."""
+    import duckdb
+
+    from orthobox.plans import catalogue
+    from orthobox.plans.tables import ORDER_POINTS
+
+    rows = [(i, float(i * 7919 % 101), float(i * 104729 % 37)) for i in range(300)]
+    df = spark.createDataFrame([(i, x, x, y, y) for i, x, y in rows], "id long, min_0 double, max_0 double, min_1 double, max_1 double")
+    known = df.toPandas()  # noqa: F841 (read by the SQL)
+    expected = set(duckdb.sql(catalogue.top_down_sql(3, 8, 2).replace(ORDER_POINTS, "known")).fetchall())
+    got = {(r["id"], r["node_id"]) for r in index.build_top_down(df, 8, 2, whole=whole, levels=3).entries.collect()}
+    assert got == expected and len({n for _, n in got}) == 8
+
+
+def test_top_down_writes_rows_a_few_times(spark, monkeypatch):
+    from orthobox import shared
+    from orthobox.operators import packing
+
+    written, settled = [], shared.settled
+
+    def counted(df):
+        out = settled(df)
+        written.append(out.count())
+        return out
+
+    for module in (shared, index, packing):
+        monkeypatch.setattr(module, "settled", counted)
+    df = spark.range(640).select("id", *Box.point([(F.col("id") * 7919 % 641).cast("double"), (F.col("id") * 31 % 641).cast("double")]).named())
+    assert index.build_top_down(df, 10, 2, whole=10).entries.count() == 640 and sum(written) <= 6 * 640
