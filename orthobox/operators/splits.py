@@ -9,14 +9,20 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from orthobox.functions.boxes import Box, axes
+from orthobox.shared import few
 
 #: Values this close, relative to each other, are ties.
 TIE = 1e-5
+#: Boxes that meet a node's children in one task, and their pairs that it looks at together.
+TOGETHER, AT_ONCE = 65_536, 500_000
 
 
 def pick_seeds(df: DataFrame, node: str = "node", key: str = "id") -> DataFrame:
@@ -29,19 +35,48 @@ def pick_seeds(df: DataFrame, node: str = "node", key: str = "id") -> DataFrame:
     return best.select(node, (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"), F.col("m.waste").alias("waste"))
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To nine digits, halves away from zero."""
+    scaled = x * 1e9
+    whole = np.trunc(scaled)
+    return (whole + np.sign(scaled) * (np.abs(scaled - whole) >= 0.5)) / 1e9
+
+
 def choose_subtree(boxes: DataFrame, children: DataFrame, key: str = "id") -> DataFrame:
     """id, child, enlargement: for each box (with a column parent_id) the child of that node that it enlarges least.
 
-    Ties, within TIE, go to the smallest child, then the first node_id.
+    Ties, within TIE, go to the smallest child, then the first node_id. A node's children meet TOGETHER of its boxes in a task,
+    which keeps one child a box: no pair is shuffled.
     """
     d = axes(boxes)
-    new, old = Box.of(d, "n."), Box.of(d, "c.")
-    met = boxes.alias("n").join(children.alias("c"), F.col("n.parent_id") == F.col("c.parent_id"))
-    scored = met.select(F.col(f"n.{key}").alias(key), F.col("c.node_id").alias("child"), F.round(old.enlargement(new), 9).alias("enlargement"), F.round(old.area(), 9).alias("area"))
-    least = F.min("enlargement").over(Window.partitionBy(key))
-    tied = scored.withColumn("least", least).filter(F.col("enlargement") - F.col("least") <= TIE * F.greatest(F.abs("enlargement"), F.abs("least")))
-    best = tied.groupBy(key).agg(F.min(F.struct("area", "child", "enlargement")).alias("m"))
-    return best.select(key, F.col("m.child").alias("child"), F.col("m.enlargement").alias("enlargement"))
+    names = [f"{s}_{i}" for s in ("min", "max") for i in range(d)]
+    corners = [F.col(c).cast("double").alias(c) for c in names]
+    shares = few(boxes.groupBy(F.col("parent_id").alias("n_")).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("shares_")))
+    new = boxes.join(shares, F.col("parent_id") == F.col("n_")).select(F.col("n_").alias("at_"), F.pmod(F.xxhash64(key), F.col("shares_")).cast("int").alias("share_"), key, *corners)
+    old = children.join(shares, F.col("parent_id") == F.col("n_")).select(F.col("n_").alias("p_"), F.explode(F.sequence(F.lit(0), F.col("shares_") - 1)).alias("part_"), "node_id", *corners)
+    schema = T.StructType([boxes.schema[key], T.StructField("child", T.StringType()), T.StructField("enlargement", T.DoubleType())])
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("node_id")
+        b, c = ([f.column(n).to_numpy() for n in names] for f in (left, right))
+        area = reduce(np.multiply, [c[d + i] - c[i] for i in range(d)])
+        size, kept, best, least_of = _rounded(area), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        step = max(1, AT_ONCE // max(1, len(right)))
+        for first in range(0, len(left) if len(right) else 0, step):
+            own = slice(first, first + step)
+            both = reduce(np.multiply, [np.fmax(c[d + i], b[d + i][own, None]) - np.fmin(c[i], b[i][own, None]) for i in range(d)])
+            more = _rounded(both - area)  # of a child without a box there is none
+            least = np.fmin.reduce(more, axis=1)[:, None]
+            tied = more - least <= TIE * np.maximum(np.abs(more), np.abs(least))
+            at = np.argmin(np.where(tied, size, np.inf), axis=1)
+            some = np.flatnonzero(tied.any(1))
+            kept.append(some + first)
+            best.append(at[some])
+            least_of.append(more[some, at[some]])
+        kept, best = np.concatenate(kept), np.concatenate(best)
+        return pa.Table.from_arrays([left.column(key).take(pa.array(kept)), right.column("node_id").take(pa.array(best)), pa.array(np.concatenate(least_of))], names=schema.names)
+
+    return new.groupBy("at_", "share_").cogroup(old.groupBy("p_", "part_")).applyInArrow(choose, schema)
 
 
 def split_candidates(df: DataFrame, least: int, node: str = "node", key: str = "id") -> DataFrame:

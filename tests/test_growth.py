@@ -82,3 +82,21 @@ def test_knn_join_deals_points_of_one_leaf_and_keeps_k(spark, monkeypatch):
     got = sorted((n["qid"], n["rank"], n["id"], n["dist_sq"]) for n in query.knn_join(at, tree.nodes, tree.entries, 3).collect())
     dist = ((q[:, None] - x[None]) ** 2).sum(2)
     assert got == [(i, k + 1, int(j), dist[i, j]) for i in range(len(q)) for k, j in enumerate(np.argsort(dist[i], kind="stable")[:3])]
+
+
+def test_subtrees_are_chosen_without_pairs(spark, monkeypatch):
+    """Several shares of one node's boxes, ties within 1e-5 and equal children; no window over all pairs."""
+    from orthobox.operators import splits
+
+    r = np.random.default_rng(3)
+    lo, b = r.integers(0, 9, (12, 2)).astype(float), r.integers(0, 12, (50, 2)).astype(float)
+    lo[7], hi = lo[2], lo + np.array([2.0, 1.0])
+    children = _frame(spark, lo, hi).select(F.concat(F.lit("r."), F.col("id").cast("string")).alias("node_id"), F.lit("r").alias("parent_id"), "min_0", "min_1", "max_0", "max_1")
+    for name, value in (("TOGETHER", 7), ("AT_ONCE", 30), ("Window", None)):
+        monkeypatch.setattr(splits, name, value, raising=False)
+    got = {x["id"]: (x["child"], x["enlargement"]) for x in splits.choose_subtree(_frame(spark, b, b).withColumn("parent_id", F.lit("r")), children).collect()}
+    for i, p in enumerate(b):
+        more = [float(np.prod(np.maximum(h, p) - np.minimum(l, p)) - np.prod(h - l)) for l, h in zip(lo, hi)]
+        tied = [j for j in range(12) if more[j] - min(more) <= 1e-5 * max(abs(more[j]), abs(min(more)))]
+        best = min(tied, key=lambda j: (2.0, f"r.{j}"))
+        assert got[i] == (f"r.{best}", more[best])
