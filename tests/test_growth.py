@@ -100,3 +100,39 @@ def test_subtrees_are_chosen_without_pairs(spark, monkeypatch):
         tied = [j for j in range(12) if more[j] - min(more) <= 1e-5 * max(abs(more[j]), abs(min(more)))]
         best = min(tied, key=lambda j: (2.0, f"r.{j}"))
         assert got[i] == (f"r.{best}", more[best])
+
+
+def test_areas_are_summed_without_pairs(spark, monkeypatch):
+    """Runs of windows, weights, flat and crossed boxes and windows, and those without corners."""
+    monkeypatch.setattr(query, "COUNTED", 9)
+    monkeypatch.setattr(query, "AT_ONCE", 11)
+    monkeypatch.setattr(query, "range_join", None)
+    r = np.random.default_rng(11)
+    lo, qlo = r.integers(0, 40, (50, 2)) / 4, r.integers(0, 40, (30, 2)) / 4
+    hi, qhi = lo + r.integers(-1, 9, (50, 2)) / 2, qlo + r.integers(-1, 9, (30, 2)) / 2
+    boxes = _frame(spark, lo, hi).withColumn("n", F.col("id") % 4)
+    windows = _frame(spark, qlo, qhi, "qid", "q").unionByName(spark.createDataFrame([(99, None, 1.0, 5.0, 5.0)], "qid long, qmin_0 double, qmin_1 double, qmax_0 double, qmax_1 double"))
+    got = {x["qid"]: (x["n"], round(x["area"], 9)) for x in query.range_join_sums(windows, boxes, ["n"], area="area").collect()}
+    w, met = np.arange(50) % 4, _hits(lo, hi, qlo, qhi)
+    for i in range(30):
+        shared = np.maximum(0, np.minimum(hi, qhi[i]) - np.maximum(lo, qlo[i])).prod(1)
+        assert got[i] == (int((w * met[i]).sum()), round(float((w * shared).sum()), 9)), i
+    assert got[99] == (0, 0.0)
+
+
+def test_overlaps_reach_beyond_a_leaf(spark):
+    """Every pair of the table counts, whichever leaves its boxes are in; pairs within leaves only were counted before."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    r = np.random.default_rng(13)
+    lo = r.integers(0, 20, (150, 2)).astype(float)
+    hi = lo + r.integers(0, 5, (150, 2))
+    got = {x["id"]: (x["n_links"], round(x["area"], 9)) for x in query.self_overlaps(_frame(spark, lo, hi)).collect()}
+    met = _hits(lo, hi, lo, hi) & ~np.eye(150, dtype=bool)
+    shared = np.maximum(0, np.minimum(hi[:, None], hi[None]) - np.maximum(lo[:, None], lo[None])).prod(2)
+    assert got == {i: (int(met[i].sum()), round(float(shared[i][met[i]].sum()), 9)) for i in range(150)}
+    con = duckdb.connect()
+    con.sql("create view lineitem as select * from '/root/testdata/sf0.001/lineitem.parquet'")
+    links = con.sql(f"select sum(n_links) from ({entry.oracle_sql()['self_overlap_pairs']})").fetchall()[0][0]
+    assert entry.queries()["self_overlap_pairs"](spark, "/root/testdata/sf0.001").agg(F.sum("n_links")).first()[0] == links
